@@ -106,9 +106,12 @@ def read_json_partition(
 def read_marketplace(
     spark: SparkSession, root: str, schema: T.StructType | str = MARKETPLACE_SCHEMA
 ) -> DataFrame:
-    """Exports of all partners, one folder each. A new partner is a new folder, not new code."""
+    """Exports of all partners, one folder each, named `partner` or `any=partner`.
+
+    A new partner is a new folder, not new code.
+    """
     files = spark.read.schema(schema).option("header", True).csv(f"{root}/*/*.csv")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/=]+)/[^/]+$", 1)
     return files.withColumn("partner", F.coalesce(F.col("partner"), folder))
 
 

@@ -127,3 +127,26 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     schema = stream.schema
     run_available(stream, path, checkpoint, mode)
     return spark.read.schema(schema).parquet(path)
+
+
+def drain_complete(stream: DataFrame, label: str) -> DataFrame:
+    """Run an aggregating stream over what has landed and return its complete result.
+
+    Appending would hold windows back until the watermark passes them; here every batch
+    replaces the result table with all windows so far.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = new_dir(spark, label), new_dir(spark, f"{label}-state")
+
+    def replace(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = (
+        stream.writeStream.foreachBatch(replace)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
