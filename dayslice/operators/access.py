@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AccessDenied
-from ..functions.columns import as_col, tier
+from ..functions.columns import as_col, day, tier
 from ..functions.privacy import MASKS, hash_text
 from .dedup import keep_latest
-from .load import upsert_all
+from .load import upsert_dedup
 
 Policy = Mapping[str, Sequence[Mapping[str, object]]]
 
@@ -130,11 +130,11 @@ def customers_silver(
     ingested: str = "ingested_at",
 ) -> DataFrame:
     """The day's customers, cleaned and one per key, upserted into the silver table."""
-    rows = bronze.where(F.col(ingested) == F.lit(ds).cast("date")).drop(ingested)
-    batch = keep_latest(clean_customers(rows), [key], [order]).withColumn(
-        "updated_at", F.lit(ds).cast("date")
-    )
-    return batch if silver is None else upsert_all(silver, batch, [key])
+    rows = clean_customers(bronze.where(F.col(ingested) == day(ds)).drop(ingested))
+    batch = rows.withColumn("updated_at", day(ds))
+    if silver is None:
+        return keep_latest(batch, [key], [order])
+    return upsert_dedup(silver, batch, [key], [order], latest=True)
 
 
 def with_tiers(df: DataFrame, balance: Column | str, credit: Column | str) -> DataFrame:

@@ -31,7 +31,7 @@ def orphans(fact: DataFrame, dim: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def matched(fact: DataFrame, dim: DataFrame, key: Sequence[str]) -> DataFrame:
     """Fact rows whose key the dimension holds, without multiplying them."""
-    return fact.join(dim.select(*key), list(key), "left_semi")
+    return fact.join(dim.select(*key).distinct(), list(key), "left_semi")
 
 
 def join_as_of(

@@ -21,12 +21,15 @@ from .shape import union_evolving
 
 
 def only_slice(src: DataFrame, col: str, ds: str | dt.date) -> DataFrame:
-    """Fail, while the rows flow, on a row that does not belong to the slice."""
+    """Fail, while the rows flow, on a row that does not belong to the slice.
+
+    The guard is a filter, which no column pruning can remove.
+    """
     message = F.concat(
         F.lit(f"row outside slice {col}={ds}: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL"))
     )
     inside = F.col(col).eqNullSafe(day(ds))
-    return src.withColumn(col, F.when(inside, F.col(col)).otherwise(F.raise_error(message)))
+    return src.where(F.when(inside, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def unique_source(src: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -73,11 +76,15 @@ def upsert_all(tgt: DataFrame, src: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def upsert_dedup(
-    tgt: DataFrame, src: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
+    tgt: DataFrame,
+    src: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] = (),
+    latest: bool = False,
 ) -> DataFrame:
-    """Upsert of a day that may hold copies: the first row of each key is applied."""
-    batch = keep_first(src, keys, order)
-    kept = tgt.join(src.select(*keys), list(keys), "left_anti")
+    """Upsert of a day that may hold copies: the first, or latest, row of each key is applied."""
+    batch = keep_latest(src, keys, order) if latest else keep_first(src, keys, order)
+    kept = tgt.join(src.select(*keys).distinct(), list(keys), "left_anti")
     return union_evolving(kept.select(tgt.columns), batch)
 
 
@@ -188,7 +195,8 @@ def apply_cdc(
 ) -> DataFrame:
     """Apply inserts, updates and deletes; deleting an absent key does nothing."""
     last = latest_change(changes, key, order)
-    kept = tgt.join(changes.select(*key), list(key), "left_anti")
+    # Distinct keys: a key changed very often is reduced before the shuffle.
+    kept = tgt.join(changes.select(*key).distinct(), list(key), "left_anti")
     live = last.where(~F.col(op).eqNullSafe(F.lit(delete)))
     return kept.select(tgt.columns).unionByName(live.select(tgt.columns))
 

@@ -1,13 +1,16 @@
-"""Reconciliation. Every check is a row (check_name, passed, expected, observed).
+"""Reconciliation.
 
-Tables are reduced to single rows on the cluster and only those are combined, so a check
-costs one scan per table and moves no data rows.
+A check names the figures it needs from each table and how to judge them. `evaluate` takes
+any number of checks and reads each table once: all figures of a table are one aggregation,
+and only the resulting single rows are combined. The answer has one row per check:
+check_name, passed, expected, observed.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,18 @@ from ..functions.columns import as_col, count_if, day, shift, sum_or_zero
 from .dedup import keep_latest
 from .joins import orphans
 
+Figure = Callable[[str], Column]
+Judge = Callable[[Figure], tuple[Column, Column, Column]]
+
+
+@dataclass(frozen=True)
+class Check:
+    """Figures per table, and a judge that turns them into (passed, expected, observed)."""
+
+    name: str
+    figures: Sequence[tuple[DataFrame, Mapping[str, Column]]]
+    judge: Judge
+
 
 def scalars(**frames: DataFrame) -> DataFrame:
     """Columns of several one-row frames side by side in one row.
@@ -31,46 +46,60 @@ def scalars(**frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def _check(name: str, row: DataFrame, passed: Column, expected: Column, observed: Column) -> DataFrame:
-    return row.select(
-        F.lit(name).alias("check_name"),
-        F.coalesce(passed, F.lit(False)).alias("passed"),
-        expected.cast("double").alias("expected"),
-        observed.cast("double").alias("observed"),
-    )
+def evaluate(*checks: Check) -> DataFrame:
+    """One row per check. Checks that share a table (the same frame object) share its scan."""
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+    rows: list[Column] = []
+    for i, check in enumerate(checks):
+        for df, figures in check.figures:
+            wanted = tables.setdefault(id(df), (df, []))[1]
+            wanted += [agg.alias(f"c{i}_{name}") for name, agg in figures.items()]
+        passed, expected, observed = check.judge(lambda name, i=i: F.col(f"c{i}_{name}"))
+        rows.append(
+            F.struct(
+                F.lit(check.name).alias("check_name"),
+                F.coalesce(passed, F.lit(False)).alias("passed"),
+                expected.cast("double").alias("expected"),
+                observed.cast("double").alias("observed"),
+            )
+        )
+    singles = {f"t{i}": df.agg(*aggs) for i, (df, aggs) in enumerate(tables.values())}
+    return scalars(**singles).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
 
+def _equal(a: str, b: str) -> Judge:
+    return lambda f: (f(a) == f(b), f(a), f(b))
 
-def _zero(name: str, row: DataFrame, col: str) -> DataFrame:
-    return _check(name, row, F.col(col) == 0, F.lit(0), F.col(col))
 
+def _none(name: str) -> Judge:
+    return lambda f: (f(name) == 0, F.lit(0), f(name))
 
-def recon_count(src: DataFrame, tgt: DataFrame, name: str = "count_match") -> DataFrame:
+
+def recon_count(src: DataFrame, tgt: DataFrame, name: str = "count_match") -> Check:
     """Source and target hold the same number of rows."""
-    row = scalars(s=src.agg(F.count("*").alias("s")), t=tgt.agg(F.count("*").alias("t")))
-    return _check(name, row, F.col("s") == F.col("t"), F.col("s"), F.col("t"))
+    rows = F.count(F.lit(1))
+    return Check(name, [(src, {"src": rows}), (tgt, {"tgt": rows})], _equal("src", "tgt"))
 
 
 def recon_sum(
     src: DataFrame, tgt: DataFrame, col: str, tolerance: float = 0.0, name: str = "sum_match"
-) -> DataFrame:
+) -> Check:
     """A sum agrees to two digits, within a tolerance. Sums are exact decimals."""
+    total = F.round(sum_or_zero(F.col(col).cast("decimal(28,6)")), 2)
 
-    def total(df: DataFrame, out: str) -> DataFrame:
-        return df.agg(F.round(sum_or_zero(F.col(col).cast("decimal(28,6)")), 2).alias(out))
+    def judge(f: Figure) -> tuple[Column, Column, Column]:
+        return F.abs(f("src") - f("tgt")) <= F.lit(tolerance), f("src"), f("tgt")
 
-    row = scalars(s=total(src, "s"), t=total(tgt, "t"))
-    close = F.abs(F.col("s") - F.col("t")) <= F.lit(tolerance)
-    return _check(name, row, close, F.col("s"), F.col("t"))
+    return Check(name, [(src, {"src": total}), (tgt, {"tgt": total})], judge)
 
 
-def recon_rollup(
-    src: DataFrame, tgt: DataFrame, count_col: str, name: str = "rollup_match"
-) -> DataFrame:
+def recon_rollup(src: DataFrame, tgt: DataFrame, count_col: str, name: str = "rollup_match") -> Check:
     """Detail rows equal the sum of the counts in a rollup."""
-    row = scalars(
-        s=src.agg(F.count("*").alias("s")), t=tgt.agg(sum_or_zero(count_col).alias("t"))
+    return Check(
+        name,
+        [(src, {"src": F.count(F.lit(1))}), (tgt, {"tgt": sum_or_zero(count_col)})],
+        _equal("src", "tgt"),
     )
-    return _check(name, row, F.col("s") == F.col("t"), F.col("s"), F.col("t"))
 
 
 def recon_dod(
@@ -80,30 +109,34 @@ def recon_dod(
     max_drift: float = 0.5,
     exclude: Sequence[str | dt.date] = (),
     name: str = "dod_ok",
-) -> DataFrame:
+) -> Check:
     """The day's rows stay within a share of the day before. A first day passes.
 
     Days in `exclude`, such as sales events, are no baseline: the run date then passes when
-    it or its previous day is one of them.
+    it or its previous day is one of them. The check filters its two days, so a table
+    partitioned by date is read for those only.
     """
     previous = shift(ds, -1)
-    skipped = {d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in exclude}
-    exempt = bool(skipped & {previous, shift(ds, 0)})
+    exempt = bool({shift(d, 0) for d in exclude} & {previous, shift(ds, 0)})
     two = fact.where(F.col(date_col).isin([previous, shift(ds, 0)]))
-    row = two.agg(
-        count_if(F.col(date_col) == day(ds)).alias("today"),
-        count_if(F.col(date_col) == day(previous)).alias("prior"),
-    )
-    near = F.abs(F.col("today") - F.col("prior")) <= F.lit(max_drift) * F.col("prior")
-    passed = F.lit(exempt) | (F.col("prior") == 0) | near
-    return _check(name, row, passed, F.col("prior"), F.col("today"))
+    figures = {
+        "today": count_if(F.col(date_col) == day(ds)),
+        "prior": count_if(F.col(date_col) == day(previous)),
+    }
+
+    def judge(f: Figure) -> tuple[Column, Column, Column]:
+        near = F.abs(f("today") - f("prior")) <= F.lit(max_drift) * f("prior")
+        return F.lit(exempt) | (f("prior") == 0) | near, f("prior"), f("today")
 
+    return Check(name, [(two, figures)], judge)
 
-def check_unique(df: DataFrame, keys: Sequence[str], name: str = "unique_key") -> DataFrame:
+
+def check_unique(df: DataFrame, keys: Sequence[str], name: str = "unique_key") -> Check:
     """Rows equal distinct keys. Grouping merges copies before the shuffle."""
     groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    row = groups.agg(sum_or_zero("_n").alias("n"), F.count("*").alias("k"))
-    return _check(name, row, F.col("n") == F.col("k"), F.col("k"), F.col("n"))
+    return Check(
+        name, [(groups, {"rows": sum_or_zero("_n"), "keys": F.count("*")})], _equal("keys", "rows")
+    )
 
 
 def check_no_tombstone(
@@ -114,26 +147,28 @@ def check_no_tombstone(
     op: str = "op",
     delete: str = "D",
     name: str = "no_tombstone",
-) -> DataFrame:
+) -> Check:
     """No key whose last change is a delete is left in the target."""
     dead = keep_latest(changes, key, order).where(F.col(op) == delete)
     left = tgt.join(dead.select(*key), list(key), "left_semi")
-    return _zero(name, left.agg(F.count("*").alias("n")), "n")
+    return Check(name, [(left, {"n": F.count(F.lit(1))})], _none("n"))
 
 
-def count_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """Rows that break each rule and rows that break any, in one pass. NULL breaks no rule."""
+def violations(rules: Mapping[str, Column]) -> dict[str, Column]:
+    """Aggregates: rows that break each rule, and rows that break any. NULL breaks no rule."""
     broken = {n: F.coalesce(~ok, F.lit(False)) for n, ok in rules.items()}
     any_broken = reduce(lambda a, b: a | b, broken.values())
-    return df.agg(
-        count_if(any_broken).alias("bad_rows"),
-        *[count_if(b).alias(n) for n, b in broken.items()],
-    )
+    return {"bad_rows": count_if(any_broken), **{n: count_if(b) for n, b in broken.items()}}
+
+
+def count_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Rows that break each rule and rows that break any, in one pass."""
+    return df.agg(*[agg.alias(n) for n, agg in violations(rules).items()])
 
 
-def check_rules(df: DataFrame, rules: Mapping[str, Column], name: str = "rules_ok") -> DataFrame:
+def check_rules(df: DataFrame, rules: Mapping[str, Column], name: str = "rules_ok") -> Check:
     """No row breaks a business rule."""
-    return _zero(name, count_violations(df, rules), "bad_rows")
+    return Check(name, [(df, {"bad": violations(rules)["bad_rows"]})], _none("bad"))
 
 
 def recon_rules(
@@ -143,21 +178,21 @@ def recon_rules(
     amount: str,
     inclusive: bool = True,
     name: str = "rules_ok",
-) -> DataFrame:
+) -> Check:
     """Fact rows with a bad amount, no key, or a key that the dimension lacks: there are none."""
     value = F.col(amount)
     bad_amount = value < 0 if inclusive else value <= 0
     keys = dim.select(key).distinct().withColumn("_known", F.lit(True))
     joined = fact.select(key, amount).join(keys, key, "left")
     bad = F.coalesce(bad_amount, F.lit(False)) | F.col(key).isNull() | F.col("_known").isNull()
-    return _zero(name, joined.agg(count_if(bad).alias("n")), "n")
+    return Check(name, [(joined, {"bad": count_if(bad)})], _none("bad"))
 
 
 def check_no_orphans(
     fact: DataFrame, dim: DataFrame, key: Sequence[str], name: str = "no_orphans"
-) -> DataFrame:
+) -> Check:
     """Every fact key exists in the dimension."""
-    return _zero(name, orphans(fact, dim, key).agg(F.count("*").alias("n")), "n")
+    return Check(name, [(orphans(fact, dim, key), {"n": F.count(F.lit(1))})], _none("n"))
 
 
 def recon_tieout(
@@ -167,13 +202,16 @@ def recon_tieout(
     agg_col: str,
     type_col: str = "event_type",
     name: str = "tieout",
-) -> DataFrame:
+) -> Check:
     """Events of one type in the fact equal the sum over the aggregate."""
-    row = scalars(
-        s=fact.agg(count_if(F.col(type_col) == event_type).alias("s")),
-        t=agg.agg(sum_or_zero(agg_col).alias("t")),
+    return Check(
+        name,
+        [
+            (fact, {"src": count_if(F.col(type_col) == event_type)}),
+            (agg, {"tgt": sum_or_zero(agg_col)}),
+        ],
+        _equal("src", "tgt"),
     )
-    return _check(name, row, F.col("s") == F.col("t"), F.col("s"), F.col("t"))
 
 
 def check_activity_dim(
@@ -185,42 +223,41 @@ def check_activity_dim(
     first_seen: str = "first_seen_date",
     last_active: str = "last_active_date",
     share: str = "latest_ctr",
-) -> DataFrame:
+) -> list[Check]:
     """An accumulated dimension: unique, complete up to the run date, ordered dates, share in [0, 1]."""
-    history = daily.where(F.col(date_col) <= day(ds))
-    row = scalars(
-        d=dim.agg(
-            F.count("*").alias("n"),
-            F.count_distinct(key).alias("k"),
-            count_if(F.col(first_seen) > F.col(last_active)).alias("bad_dates"),
-            count_if((F.col(share) < 0) | (F.col(share) > 1)).alias("bad_share"),
+    known = daily.where(F.col(date_col) <= day(ds)).select(key).distinct()
+    keys = dim.groupBy(key).agg(F.count("*").alias("_n"))
+    late = count_if(F.col(first_seen) > F.col(last_active))
+    outside = count_if((F.col(share) < 0) | (F.col(share) > 1))
+    return [
+        Check(
+            "unique_key", [(keys, {"rows": sum_or_zero("_n"), "keys": F.count("*")})],
+            _equal("keys", "rows"),
         ),
-        h=history.agg(F.count_distinct(key).alias("seen")),
-    )
-    return reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            _check("unique_key", row, F.col("n") == F.col("k"), F.col("k"), F.col("n")),
-            _zero("date_order", row, "bad_dates"),
-            _check("complete", row, F.col("n") == F.col("seen"), F.col("seen"), F.col("n")),
-            _zero("share_range", row, "bad_share"),
-        ],
-    )
+        Check("date_order", [(dim, {"bad": late})], _none("bad")),
+        Check(
+            "complete", [(known, {"seen": F.count("*")}), (keys, {"held": F.count("*")})],
+            _equal("seen", "held"),
+        ),
+        Check("share_range", [(dim, {"bad": outside})], _none("bad")),
+    ]
 
 
-def check_positive(df: DataFrame, col: str | None = None, name: str | None = None) -> DataFrame:
+def check_positive(df: DataFrame, col: str | None = None, name: str | None = None) -> Check:
     """The table has rows, or with a column, a sum above zero; catches a silently renamed column."""
     if col is None:
-        row = df.agg(F.count("*").alias("v"))
-        return _check(name or "not_empty", row, F.col("v") > 0, F.lit(1), F.col("v"))
-    row = df.agg(sum_or_zero(col).alias("v"))
-    return _check(name or f"positive_{col}", row, F.col("v") > 0, F.lit(0), F.col("v"))
+        return Check(
+            name or "not_empty", [(df, {"v": F.count(F.lit(1))})], lambda f: (f("v") > 0, F.lit(1), f("v"))
+        )
+    return Check(
+        name or f"positive_{col}", [(df, {"v": sum_or_zero(col)})], lambda f: (f("v") > 0, F.lit(0), f("v"))
+    )
 
 
-def check_source(df: DataFrame, name: str = "source_reachable") -> DataFrame:
+def check_source(df: DataFrame, name: str = "source_reachable") -> Check:
     """The source answers and holds at least one row; reads one row, not the table."""
-    row = df.select(F.lit(1).alias("one")).limit(1).agg(F.count("*").alias("v"))
-    return _check(name, row, F.col("v") > 0, F.lit(1), F.col("v"))
+    one = df.select(F.lit(1).alias("one")).limit(1)
+    return Check(name, [(one, {"v": F.count("*")})], lambda f: (f("v") > 0, F.lit(1), f("v")))
 
 
 def check_not_null(
@@ -229,10 +266,19 @@ def check_not_null(
     date_col: str | None = None,
     ds: str | dt.date | None = None,
     name: str | None = None,
-) -> DataFrame:
+) -> Check:
     """No NULL in a key column, for one run date or the whole table."""
-    rows = df if ds is None else df.where(F.col(date_col) == day(ds))
-    return _zero(name or f"not_null_{col}", rows.agg(count_if(as_col(col).isNull()).alias("n")), "n")
+    missing = as_col(col).isNull()
+    if ds is not None:
+        missing = missing & (F.col(date_col) == day(ds))
+    return Check(name or f"not_null_{col}", [(df, {"n": count_if(missing)})], _none("n"))
+
+
+def recon_channels(
+    pairs: Mapping[str, tuple[DataFrame, DataFrame]], col: str, tolerance: float = 0.0
+) -> list[Check]:
+    """Source and mart totals agree for every sales channel."""
+    return [recon_sum(s, t, col, tolerance, f"revenue_{c}") for c, (s, t) in pairs.items()]
 
 
 def trace_layers(layers: Mapping[str, DataFrame], date_col: str, value: str) -> DataFrame:
@@ -248,26 +294,12 @@ def trace_layers(layers: Mapping[str, DataFrame], date_col: str, value: str) ->
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def recon_channels(
-    pairs: Mapping[str, tuple[DataFrame, DataFrame]], col: str, tolerance: float = 0.0
-) -> DataFrame:
-    """Source and mart totals agree for every sales channel."""
-    return all_checks(
-        *[recon_sum(s, t, col, tolerance, f"revenue_{c}") for c, (s, t) in pairs.items()]
-    )
-
-
-def all_checks(*checks: DataFrame) -> DataFrame:
-    """Rows of several checks in one table."""
-    return reduce(lambda a, b: a.unionByName(b), checks)
-
-
 def run_summary(
     checks: DataFrame, rows_per_layer: Mapping[str, int], ds: str, finished_at: str
 ) -> DataFrame:
     """What an operator on call needs: finish time, rows per layer, and each check's outcome.
 
-    Row counts come from `counted` below or from a written table's metadata.
+    Row counts are those the sinks return, taken while writing.
     """
     spark = checks.sparkSession
     layers = spark.createDataFrame(

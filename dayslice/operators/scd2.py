@@ -47,27 +47,24 @@ def _undo(
     )
 
 
-def _compare(
-    current: DataFrame, snap: DataFrame, key: Sequence[str], attrs: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Current rows marked with what the snapshot says, and snapshot rows that need a version."""
-    seen = snap.select(*key, *[F.col(a).alias(f"_new_{a}") for a in attrs], F.lit(True).alias("_seen"))
-    marked = current.join(seen, list(key), "left").withColumns(
-        {
-            "_seen": F.coalesce(F.col("_seen"), F.lit(False)),
-            "_same": same([F.col(a) for a in attrs], [F.col(f"_new_{a}") for a in attrs]),
-        }
-    ).drop(*[f"_new_{a}" for a in attrs])
-    held = current.select(*key, *[F.col(a).alias(f"_old_{a}") for a in attrs])
-    on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in key]
-    on += [F.col(f"n.{a}").eqNullSafe(F.col(f"o._old_{a}")) for a in attrs]
-    opened = snap.select(*key, *attrs).alias("n").join(held.alias("o"), on, "left_anti")
-    return marked, opened
-
+def _meet(
+    before: DataFrame, snap: DataFrame, key: Sequence[str], attrs: Sequence[str], close_missing: bool
+) -> DataFrame:
+    """Current rows met with the snapshot: one row per key known to either.
 
-def _closing(close_missing: bool) -> Column:
-    changed = F.col("_seen") & ~F.col("_same")
-    return changed | ~F.col("_seen") if close_missing else changed
+    `_closes` tells that the current version ends, `_opens` that a new version starts with
+    the attributes `_new_*`. A key occurs once on both sides, so no key can be hot here.
+    """
+    current = before.where("is_current").withColumn("_held", F.lit(True))
+    batch = unique_source(snap.select(*key, *attrs), key).select(
+        *key, *[F.col(a).alias(f"_new_{a}") for a in attrs], F.lit(True).alias("_seen")
+    )
+    held, seen = F.col("_held").isNotNull(), F.col("_seen").isNotNull()
+    equal = same([F.col(a) for a in attrs], [F.col(f"_new_{a}") for a in attrs])
+    ends = (seen & ~equal) | ~seen if close_missing else seen & ~equal
+    return current.join(batch, list(key), "full_outer").withColumns(
+        {"_closes": held & ends, "_opens": seen & (~held | ~equal)}
+    )
 
 
 def apply_scd2_closed(
@@ -78,32 +75,38 @@ def apply_scd2_closed(
     ds: str | dt.date,
     close_missing: bool = False,
 ) -> DataFrame:
-    """Apply one full snapshot in the closed convention."""
-    before = _undo(
-        dim, ds, "effective_date", "expiration_date",
-        day(shift(ds, -1)), F.lit(OPEN_END).cast("date"),
-    )
-    batch = unique_source(snap.select(*key, *attrs), key)
-    marked, opened = _compare(before.where("is_current"), batch, key, attrs)
-    closing = _closing(close_missing)
-    current = marked.withColumns(
-        {
-            "expiration_date": F.when(closing, day(shift(ds, -1))).otherwise(F.col("expiration_date")),
-            "is_current": ~closing,
-        }
-    )
-    versions = before.groupBy(*key).agg(F.max("version").alias("_last"))
-    fresh = opened.join(versions, list(key), "left").select(
-        *key,
-        *attrs,
-        day(ds).alias("effective_date"),
-        F.lit(OPEN_END).cast("date").alias("expiration_date"),
-        F.lit(True).alias("is_current"),
-        (F.coalesce(F.col("_last"), F.lit(0)) + 1).cast(dim.schema["version"].dataType).alias("version"),
-    )
+    """Apply one full snapshot in the closed convention.
+
+    Each met row yields its current version, its new version, or both, from the same join.
+    """
+    forever = F.lit(OPEN_END).cast("date")
+    before = _undo(dim, ds, "effective_date", "expiration_date", day(shift(ds, -1)), forever)
+    met = _meet(before, snap, key, attrs, close_missing)
+    # A key without a current row may still have closed versions to count on from.
+    last = before.groupBy(*key).agg(F.max("version").alias("_last"))
+    both = met.join(last, list(key), "left")
+    closes = F.col("_closes")
     cols = dim.columns
-    history = before.where("NOT is_current")
-    return history.select(cols).unionByName(current.select(cols)).unionByName(fresh.select(cols))
+    old = {c: F.col(c) for c in cols} | {
+        "expiration_date": F.when(closes, day(shift(ds, -1))).otherwise(F.col("expiration_date")),
+        "is_current": ~closes,
+    }
+    new = {
+        **{k: F.col(k) for k in key},
+        **{a: F.col(f"_new_{a}") for a in attrs},
+        "effective_date": day(ds),
+        "expiration_date": forever,
+        "is_current": F.lit(True),
+        "version": (F.coalesce(F.col("_last"), F.lit(0)) + 1).cast(dim.schema["version"].dataType),
+    }
+    versions = F.array_compact(
+        F.array(
+            F.when(F.col("_held").isNotNull(), F.struct(*[old[c].alias(c) for c in cols])),
+            F.when(F.col("_opens"), F.struct(*[new[c].alias(c) for c in cols])),
+        )
+    )
+    touched = both.select(F.explode(versions).alias("v")).select("v.*")
+    return before.where("NOT is_current").select(cols).unionByName(touched)
 
 
 def apply_scd2_open(
@@ -119,15 +122,15 @@ def apply_scd2_open(
     before = _undo(
         dim, ds, "effective_from", "effective_to", day(ds), F.lit(None).cast("date")
     )
-    batch = unique_source(snap.select(*key, *attrs), key)
-    marked, opened = _compare(before.where("is_current"), batch, key, attrs)
-    closing = _closing(close_missing)
-    current = marked.withColumns(
+    met = _meet(before, snap, key, attrs, close_missing)
+    closes = F.col("_closes")
+    current = met.where(F.col("_held").isNotNull()).withColumns(
         {
-            "effective_to": F.when(closing, day(ds)).otherwise(F.col("effective_to")),
-            "is_current": ~closing,
+            "effective_to": F.when(closes, day(ds)).otherwise(F.col("effective_to")),
+            "is_current": ~closes,
         }
     )
+    opened = met.where("_opens").select(*key, *[F.col(f"_new_{a}").alias(a) for a in attrs])
     highest = before.agg(F.max(surrogate).alias("_max"))
     fresh = number_rows(opened, key, surrogate, after=highest).withColumns(
         {

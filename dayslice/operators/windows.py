@@ -35,10 +35,14 @@ def avg_daily_units(
     d0: str | dt.date,
     d1: str | dt.date,
     days: int = 7,
+    entities: DataFrame | None = None,
 ) -> DataFrame:
-    """Trailing average of units for every entity and day in d0..d1; idle days count as zero."""
+    """Trailing average of units for every entity and day in d0..d1; idle days count as zero.
+
+    The entities are those of a dimension table if given, else those with a sale.
+    """
     daily = daily_units(sales.where(F.col(date_col).between(day(d0), day(d1))), key, date_col, units)
-    keys = daily.select(key).distinct()
+    keys = (daily if entities is None else entities).select(key).distinct()
     grid = day_grid(keys, key, d0, d1)
     trailing = Window.partitionBy(key).orderBy("day").rowsBetween(-(days - 1), 0)
     return (

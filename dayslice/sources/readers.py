@@ -89,6 +89,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop))
 
 
+def has_slices(spark: SparkSession, path: str) -> bool:
+    """Whether a partitioned table has been written: at least one col=value folder exists."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0
+
+
 def partition_path(root: str, layer: str, table: str, ds: str) -> str:
     return f"{root}/{layer}/{table}/dt={ds}"
 

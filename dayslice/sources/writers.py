@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.load import only_slice
 from ..operators.quality import gate
-from .readers import partition_path, path_exists
+from .readers import has_slices, partition_path, path_exists
 
 
 def write_slices(df: DataFrame, path: str, col: str) -> None:
@@ -119,3 +119,24 @@ def create_buckets(
     """First write of a table for `merge_buckets`."""
     laid_out = df.withColumn(bucket_col, F.pmod(F.hash(key), F.lit(buckets)))
     write_slices(laid_out, path, bucket_col)
+
+
+def upsert_table(
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    key: str,
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
+    first: Callable[[DataFrame], DataFrame],
+    buckets: int = 256,
+) -> None:
+    """`merge_buckets` on a table that may not exist yet; `first(batch)` is its start state."""
+    if has_slices(spark, path):
+        merge_buckets(spark, path, batch, key, merge, buckets)
+    else:
+        create_buckets(first(batch), path, key, buckets)
+
+
+def read_buckets(spark: SparkSession, path: str, bucket_col: str = "bucket") -> DataFrame:
+    """A table written by `upsert_table`, without its layout column."""
+    return spark.read.parquet(path).drop(bucket_col)

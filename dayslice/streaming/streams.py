@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import new_dir
-from ..sources.writers import create_buckets, merge_buckets
-from ..sources.readers import path_exists
+from ..sources.writers import upsert_table
 
 
 def stream_landing(
@@ -102,15 +101,12 @@ def foreach_batch_upsert(
 
     `merge(target, batch)` must be repeatable, as upserts and change sets are: a batch that
     is delivered again after a failure then changes nothing. `first(batch)` is the table
-    made from the first batch. Only the buckets a batch touches are rewritten.
+    made from the first batch. Only the buckets a batch touches are rewritten. Changes of a
+    key have to arrive in order from batch to batch; inside a batch any order will do.
     """
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        if path_exists(spark, f"{path}/_SUCCESS"):
-            merge_buckets(spark, path, batch, key, merge, buckets)
-        else:
-            create_buckets(first(batch), path, key, buckets)
+        upsert_table(batch.sparkSession, path, batch, key, merge, first, buckets)
 
     return (
         stream.writeStream.foreachBatch(apply)

@@ -157,7 +157,9 @@ FROM g LEFT JOIN d ON d.brand = g.brand AND d.ship_date = g.day""",
 def avg_daily_units(spark, sf):
     brands = R.products_v(spark, sf).select("product_id", "brand")
     sales = R.items_v(spark, sf).join(brands, "product_id")
-    return windows.avg_daily_units(sales, "brand", "ship_date", "quantity", "1995-01-01", "2001-12-31")
+    return windows.avg_daily_units(
+        sales, "brand", "ship_date", "quantity", "1995-01-01", "2001-12-31", entities=brands
+    )
 
 
 @query(

@@ -143,7 +143,7 @@ def recon_orders(spark, sf):
     fact = silver.select("order_id", "customer_id", "amount", "order_date")
     dim = fact.select("customer_id").distinct()
     rollup = order_plans.customer_daily(fact)
-    return reconcile.all_checks(
+    return reconcile.evaluate(
         reconcile.recon_count(silver, fact),
         reconcile.recon_sum(silver, fact, "amount"),
         reconcile.recon_rollup(fact, rollup, "order_count"),
@@ -181,7 +181,7 @@ def recon_corrupted(spark, sf):
     dim = src.where("order_status <> 'P'").select("order_id")
     nameless = src.withColumn("partner", F.nullif("partner", F.lit("5-LOW")))
     renamed = src.withColumn("revenue", F.lit(None).cast("decimal(18,2)"))
-    return reconcile.all_checks(
+    return reconcile.evaluate(
         reconcile.recon_count(src, tgt),
         reconcile.recon_sum(src, tgt, "amount"),
         reconcile.check_no_orphans(tgt, dim, ["order_id"]),
@@ -214,7 +214,7 @@ def recon_corrupted(spark, sf):
 def recon_ads(spark, sf):
     fact = ads.fact_ad_events(R.ad_raw(spark, sf))
     daily = ads.ad_daily(fact)
-    return reconcile.all_checks(
+    return reconcile.evaluate(
         reconcile.check_unique(fact, ["event_id"]),
         reconcile.recon_tieout(fact, daily, "impression", "impressions"),
         reconcile.check_rules(daily, ads.ad_daily_rules()),
@@ -259,7 +259,7 @@ def recon_ad_dimension(spark, sf):
     dim = load.activity_from_history(
         daily, "ad_id", "event_date", {"campaign_id": "campaign_id", "latest_ctr": "ctr"}
     )
-    return reconcile.check_activity_dim(dim, daily, "ad_id", "2024-01-31")
+    return reconcile.evaluate(*reconcile.check_activity_dim(dim, daily, "ad_id", "2024-01-31"))
 
 
 @query(
@@ -287,7 +287,7 @@ def recon_cdc(spark, sf):
     tgt, batch = cdc_tables(spark, sf)
     new = load.apply_cdc(tgt, batch, ["user_id"], ["updated_at"])
     key, order = ["user_id"], ["updated_at"]
-    return reconcile.all_checks(
+    return reconcile.evaluate(
         reconcile.check_unique(new, key),
         reconcile.check_no_tombstone(new, batch, key, order),
         reconcile.check_no_tombstone(tgt, batch, key, order, name="tombstone_before"),
@@ -328,9 +328,8 @@ def recon_channels(spark, sf):
         return df.groupBy("product_id").agg(F.sum("amount").alias("amount"))
 
     direct, market = channel_sides(spark, sf)
-    return reconcile.recon_channels(
-        {"direct": (direct, mart(direct)), "marketplace": (market, mart(market))}, "amount"
-    )
+    pairs = {"direct": (direct, mart(direct)), "marketplace": (market, mart(market))}
+    return reconcile.evaluate(*reconcile.recon_channels(pairs, "amount"))
 
 
 @query(
@@ -352,7 +351,7 @@ r AS ("""
 def run_summary(spark, sf):
     orders = R.orders_v(spark, sf)
     counts = {"orders": orders.count(), "items": R.items_v(spark, sf).count()}
-    checks = reconcile.check_positive(orders)
+    checks = reconcile.evaluate(reconcile.check_positive(orders))
     return reconcile.run_summary(checks, counts, "2001-08-01", "2001-08-01 06:30:00")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dayslice.functions import columns as C
 from dayslice.operators import joins, scd2
 from dayslice.plans import customers
+from dayslice.session import materialize
 
 from . import recipes as R
 from .recipes import with_tables
@@ -30,6 +31,12 @@ def closed_dim(spark, sf):
     return scd2.scd2_from_snapshots(R.snapshots_v(spark, sf), ["customer_id"], ["tier"])
 
 
+def stored_history(snaps, **options):
+    """Versions up to the last snapshot, as a table on disk, which is what a daily run starts from."""
+    earlier = snaps.where(F.col("snapshot_date") < C.day(LAST))
+    return materialize(scd2.scd2_from_snapshots(earlier, ["customer_id"], ["tier"], **options), "history")
+
+
 @query("scd2_from_snapshots", with_tables(f"WITH {_CHANGES} SELECT {_DIM_COLS} FROM dim", "snapshots_v"))
 def scd2_from_snapshots(spark, sf):
     return closed_dim(spark, sf)
@@ -39,9 +46,7 @@ def scd2_from_snapshots(spark, sf):
 def scd2_closed(spark, sf):
     """History up to the last snapshot, then that snapshot applied as a daily run would."""
     snaps = R.snapshots_v(spark, sf)
-    before = scd2.scd2_from_snapshots(
-        snaps.where(F.col("snapshot_date") < C.day(LAST)), ["customer_id"], ["tier"]
-    )
+    before = stored_history(snaps)
     today = snaps.where(F.col("snapshot_date") == C.day(LAST))
     return scd2.apply_scd2_closed(before, today, ["customer_id"], ["tier"], LAST)
 
@@ -63,10 +68,7 @@ FROM (SELECT * FROM old UNION ALL SELECT * FROM new)""",
 )
 def scd2_open(spark, sf):
     snaps = R.snapshots_v(spark, sf)
-    before = scd2.scd2_from_snapshots(
-        snaps.where(F.col("snapshot_date") < C.day(LAST)),
-        ["customer_id"], ["tier"], closed=False, surrogate="customer_key",
-    )
+    before = stored_history(snaps, closed=False, surrogate="customer_key")
     today = snaps.where(F.col("snapshot_date") == C.day(LAST))
     return scd2.apply_scd2_open(before, today, ["customer_id"], ["tier"], LAST)
 
@@ -83,9 +85,7 @@ FROM dim""",
 )
 def scd2_close_missing(spark, sf):
     snaps = R.snapshots_v(spark, sf)
-    before = scd2.scd2_from_snapshots(
-        snaps.where(F.col("snapshot_date") < C.day(LAST)), ["customer_id"], ["tier"]
-    )
+    before = stored_history(snaps)
     today = snaps.where(F.col("snapshot_date") == C.day(LAST))
     dim = scd2.apply_scd2_closed(before, today, ["customer_id"], ["tier"], LAST, close_missing=True)
     return dim.agg(F.count("*").alias("versions"), C.count_if(F.col("is_current")).alias("current_rows"))
