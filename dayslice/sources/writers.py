@@ -42,7 +42,7 @@ def write_slice(df: DataFrame, path: str, col: str, ds: str | dt.date) -> int:
     return rows
 
 
-def drop_slice(spark: SparkSession, path: str, col: str, ds: str | dt.date) -> bool:
+def drop_slice(spark: SparkSession, path: str, col: str, ds: str | int | dt.date) -> bool:
     """Remove the folder of one slice, if there is one."""
     folder = f"{path}/{col}={ds}"
     if not path_exists(spark, folder):
@@ -98,9 +98,10 @@ def merge_buckets(
     """Merge a batch into a table laid out by hash bucket and rewrite only touched buckets.
 
     `merge(target, batch)` is one of the load patterns. The old files of a bucket are
-    replaced when the job commits, so reading them in the same job is safe; running the
-    batch again gives the same table as long as the merge itself is repeatable. The list
-    of touched buckets has at most `buckets` entries.
+    replaced when the job commits, so reading them in the same job is safe; a bucket the
+    merge leaves empty is removed after that. Running the batch again gives the same table
+    as long as the merge itself is repeatable. The lists of touched and kept buckets have
+    at most `buckets` entries.
     """
     def with_bucket(df: DataFrame) -> DataFrame:
         return df.withColumn(bucket_col, F.pmod(F.hash(key), F.lit(buckets)))
@@ -109,7 +110,11 @@ def merge_buckets(
     if not touched:
         return touched
     old = spark.read.parquet(path).where(F.col(bucket_col).isin(touched)).drop(bucket_col)
-    write_slices(with_bucket(merge(old, batch)), path, bucket_col)
+    kept = Observation()
+    merged = with_bucket(merge(old, batch))
+    write_slices(merged.observe(kept, F.collect_set(bucket_col).alias("buckets")), path, bucket_col)
+    for bucket in sorted(set(touched) - set(kept.get["buckets"])):
+        drop_slice(spark, path, bucket_col, bucket)
     return touched
 
 
