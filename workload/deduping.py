@@ -112,7 +112,7 @@ def best_slow_sellers(spark, sf):
 @query(
     "surrogate_numbers",
     with_tables(
-        """SELECT order_id, row_number() OVER (ORDER BY substr(md5(CAST(order_id AS VARCHAR)), 1, 3), order_id) AS order_no
+        """SELECT order_id, row_number() OVER (ORDER BY substr(md5(CAST(order_id AS VARCHAR)), 1, 4), order_id) AS order_no
 FROM orders_v""",
         "orders_v",
     ),
@@ -125,7 +125,7 @@ def surrogate_numbers(spark, sf):
     "batch_ids",
     with_tables(
         """SELECT (pos - 1) // 50 AS batch_id, COUNT(*) AS n_ids, MIN(order_id) AS first_id, MAX(order_id) AS last_id
-FROM (SELECT order_id, row_number() OVER (ORDER BY substr(md5(CAST(order_id AS VARCHAR)), 1, 3), order_id) AS pos
+FROM (SELECT order_id, row_number() OVER (ORDER BY substr(md5(CAST(order_id AS VARCHAR)), 1, 4), order_id) AS pos
       FROM orders_v) GROUP BY 1""",
         "orders_v",
     ),

@@ -39,9 +39,24 @@ def ad_daily(spark, sf):
     return ads.ad_daily(ads.fact_ad_events(R.ad_raw(spark, sf)))
 
 
-@query("ad_daily_approx")
+@query(
+    "ad_daily_approx",
+    with_tables(
+        """SELECT CAST(event_date AS VARCHAR) AS event_date, ad_id, impressions, clicks, ctr, TRUE AS reach_is_close
+FROM agg_ads""",
+        "agg_ads",
+    ),
+)
 def ad_daily_approx(spark, sf):
-    return ads.ad_daily(ads.fact_ad_events(R.ad_raw(spark, sf)), approx=True)
+    """The sketched reach next to the exact one: everywhere within 5 %, or one user."""
+    fact = ads.fact_ad_events(R.ad_raw(spark, sf))
+    keys = ["event_date", "ad_id", "campaign_id"]
+    exact = ads.ad_daily(fact).select(*keys, F.col("unique_users").alias("exact"))
+    off = F.abs(F.col("unique_users") - F.col("exact"))
+    return ads.ad_daily(fact, approx=True).join(exact, keys).select(
+        "event_date", "ad_id", "impressions", "clicks", "ctr",
+        (off <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)).alias("reach_is_close"),
+    )
 
 
 @query(

@@ -55,10 +55,10 @@ def scd2_closed(spark, sf):
     "scd2_open",
     with_tables(
         f"""WITH {_CHANGES},
-old AS (SELECT row_number() OVER (ORDER BY substr(md5(customer_id || '|' || CAST(snapshot_date AS VARCHAR)), 1, 3),
+old AS (SELECT row_number() OVER (ORDER BY substr(md5(customer_id || '|' || CAST(snapshot_date AS VARCHAR)), 1, 4),
     customer_id, snapshot_date) AS customer_key, * FROM ver WHERE snapshot_date < DATE '{LAST}'),
 new AS (SELECT (SELECT COALESCE(MAX(customer_key), 0) FROM old) + row_number() OVER (
-    ORDER BY substr(md5(CAST(customer_id AS VARCHAR)), 1, 3), customer_id) AS customer_key, *
+    ORDER BY substr(md5(CAST(customer_id AS VARCHAR)), 1, 4), customer_id) AS customer_key, *
   FROM ver WHERE snapshot_date = DATE '{LAST}')
 SELECT customer_key, customer_id, tier, CAST(snapshot_date AS VARCHAR) AS effective_from,
   CAST(nxt AS VARCHAR) AS effective_to, nxt IS NULL AS is_current
