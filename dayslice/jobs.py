@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,8 +83,6 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    import sys
-
     spark = build_session("dayslice")
     try:
         run(spark, sys.argv[1:] if argv is None else argv).show(100, truncate=False)

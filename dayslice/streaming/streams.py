@@ -63,8 +63,8 @@ def stream_metrics(
     On a batch frame the watermark is ignored, so the same call gives the batch answer.
     """
     timed = event_time(df, ts).withWatermark(ts, delay)
-    name = "session_window" if "session_window" in str(frame) else "window"
     grouped = timed.groupBy(frame, *keys).agg(*aggs)
+    name = grouped.columns[0]
     return grouped.select(
         F.col(f"{name}.start").alias("window_start"),
         F.col(f"{name}.end").alias("window_end"),

@@ -49,27 +49,3 @@ def test_broadcast_only_below_the_limit(spark, root):
 def test_materialized_frame_reads_from_the_shared_folder(spark):
     df = materialize(spark.range(5), "five")
     assert rows(df) == [(i,) for i in range(5)] and "Range" not in layout.plan_text(df, "simple")
-
-
-def test_no_query_multiplies_rows_without_a_key(spark):
-    """Plans of all queries without broadcasts: no nested loops and no products."""
-    import os
-
-    from workload import all_queries
-
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        pytest.skip("driver tables are not here")
-    writes = re.compile("new_dir|drain|_metrics|materialize|stored_history")
-    import inspect
-
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for name, query in all_queries().items():
-            body = inspect.getsource(query.run.__closure__[0].cell_contents)
-            if writes.search(body):
-                continue
-            plan = layout.plan_text(query.run(spark, sf), "simple")
-            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
