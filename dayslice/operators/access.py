@@ -8,6 +8,7 @@ have `columns` ([{"name", "mask"}], a mask name or a function of the column) and
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Collection, Mapping, Sequence
 
@@ -46,6 +47,18 @@ def minimize(df: DataFrame, allowed: Collection[str], wanted: Sequence[str] | No
     return df.select(*cols)
 
 
+def load_policy(text: str) -> Policy:
+    """A policy from JSON; a mask that is not known or a rule without privileges is an error."""
+    policy = json.loads(text)
+    for rule in policy["tables"]:
+        if "privileges" not in rule:
+            raise ValueError(f"rule without privileges: {rule}")
+        unknown = [c["mask"] for c in rule.get("columns", ()) if c["mask"] not in MASKS]
+        if unknown:
+            raise ValueError(f"unknown masks {unknown}; known are {sorted(MASKS)}")
+    return policy
+
+
 def _matches(rule: Mapping[str, object], field: str, value: str) -> bool:
     return re.fullmatch(str(rule.get(field, ".*")), value) is not None
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import shift
 from ..operators.load import only_slice
 from ..operators.quality import gate
 from .readers import has_slices, partition_path, path_exists
@@ -51,6 +52,15 @@ def drop_slice(spark: SparkSession, path: str, col: str, ds: str | int | dt.date
     return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True))
 
 
+def delete_slices(
+    spark: SparkSession, path: str, col: str, lo: str | dt.date, hi: str | dt.date
+) -> list[dt.date]:
+    """Remove the slices lo..hi of a table on disk; no data is read or rewritten."""
+    first, last = shift(lo, 0), shift(hi, 0)
+    days = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+    return [d for d in days if drop_slice(spark, path, col, d)]
+
+
 def append_partitioned(df: DataFrame, path: str, col: str) -> None:
     """Add files to a partitioned table. Not repeatable; prefer `write_slices`."""
     df.write.mode("append").partitionBy(col).parquet(path)

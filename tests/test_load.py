@@ -183,3 +183,9 @@ def test_bucket_merge_rewrites_only_touched_buckets(spark, root):
     assert 1 <= len(touched) <= 2 and len(files & after) >= 14
     table = writers.read_buckets(spark, path)
     assert table.count() == 101 and rows(table.where("v > 0")) == [(3, 1), (500, 2)]
+
+
+def test_slices_deleted_on_disk(spark, root, six_orders):
+    writers.write_slices(six_orders, f"{root}/t", "order_date")
+    assert writers.delete_slices(spark, f"{root}/t", "order_date", "2026-01-10", "2026-01-15") == [d("2026-01-15")]
+    assert rows(read_partitioned(spark, f"{root}/t"), "order_id") == [(6,)]

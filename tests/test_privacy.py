@@ -90,3 +90,14 @@ def test_unknown_numbers_have_no_tier(spark):
     assert rows(access.with_tiers(df, "b", "s"), "balance_tier", "credit_tier") == [
         (None, None), ("high", "excellent"), ("medium", "poor")
     ]
+
+
+def test_policy_file(people):
+    text = """{"tables": [{"user": "guest", "schema": "gold", "table": "people", "privileges": ["SELECT"],
+        "filter": "customer_id < 10", "columns": [{"name": "cccd", "mask": "hash"}]}]}"""
+    view = access.secure_view(people, access.load_policy(text), "guest", "gold.people")
+    assert view.count() == 10 and len(view.first().cccd) == 64
+    with pytest.raises(ValueError, match="unknown masks"):
+        access.load_policy(text.replace('"hash"', '"blur"'))
+    with pytest.raises(ValueError, match="privileges"):
+        access.load_policy('{"tables": [{"user": "x"}]}')

@@ -49,6 +49,18 @@ def rows_of(names: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [names[i] for i in order], sorted(tuple(normal(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose Spark and DuckDB types do not correspond."""
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"{name} {kind}/{want[name]}" for name, kind in df.dtypes
+        if name in want and TYPES.get(kind, kind) != want[name]
+    ]
+
+
 def compare(spark, con, query, sf: str) -> tuple[bool, str, float]:
     start = time.time()
     df = query.run(spark, sf)
@@ -59,6 +71,9 @@ def compare(spark, con, query, sf: str) -> tuple[bool, str, float]:
         return False, "the plan multiplies rows without a key", took
     if query.sql is None:
         return True, f"{len(got)} rows, no SQL", took
+    odd = type_differences(df, con, query.sql)
+    if odd:
+        return False, f"types {odd}", took
     result = con.execute(query.sql)
     names = [d[0] for d in result.description]
     want = result.fetchall()

@@ -97,7 +97,7 @@ def lag_prune(spark, sf):
 
 @query(
     "file_stats",
-    "SELECT COUNT(*) AS n_rows, 1 AS n_files FROM lineitem",
+    "SELECT COUNT(*) AS n_rows, 1::BIGINT AS n_files FROM lineitem",
 )
 def file_stats(spark, sf):
     return layout.file_stats(R.table(spark, sf, "lineitem")).select("n_rows", "n_files")
@@ -105,7 +105,7 @@ def file_stats(spark, sf):
 
 @query(
     "compact_files",
-    """SELECT COUNT(*) AS n_rows, 'before' AS stage, 24 AS n_files FROM orders
+    """SELECT COUNT(*) AS n_rows, 'before' AS stage, 24::BIGINT AS n_files FROM orders
 UNION ALL SELECT COUNT(*), 'after', 1 FROM orders""",
 )
 def compact_files(spark, sf):

@@ -91,7 +91,7 @@ def schema_drift(spark, sf):
 
 @query(
     "align_contract",
-    """SELECT o_orderstatus, COUNT(*) AS n_rows, COUNT(CAST(o_orderkey AS VARCHAR)) AS keyed, 0 AS with_note,
+    """SELECT o_orderstatus, COUNT(*) AS n_rows, COUNT(CAST(o_orderkey AS VARCHAR)) AS keyed, 0::BIGINT AS with_note,
   CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders GROUP BY 1""",
 )
 def align_contract(spark, sf):
@@ -226,8 +226,8 @@ def recon_ads(spark, sf):
     "ad_rule_violations",
     with_tables(
         """SELECT COUNT(*) FILTER (WHERE clicks > impressions OR ctr > 1) AS bad_rows,
-  COUNT(*) FILTER (WHERE clicks > impressions) AS clicks_over_impressions, 0 AS negative_counts,
-  COUNT(*) FILTER (WHERE ctr > 1) AS ctr_range, 0 AS reach_over_events FROM agg_ads""",
+  COUNT(*) FILTER (WHERE clicks > impressions) AS clicks_over_impressions, 0::BIGINT AS negative_counts,
+  COUNT(*) FILTER (WHERE ctr > 1) AS ctr_range, 0::BIGINT AS reach_over_events FROM agg_ads""",
         "agg_ads",
     ),
 )

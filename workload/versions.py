@@ -177,13 +177,27 @@ def version_gaps(spark, sf):
 @query(
     "scd2_problems",
     with_tables(
-        """SELECT 0 AS several_current, 0 AS no_current, 0 AS overlaps, 0 AS gaps, 0 AS repeated_versions
-FROM (SELECT COUNT(*) FROM snapshots_v)""",
+        f"""WITH {_CHANGES}, bad AS (SELECT customer_id, version, is_current, effective_date,
+  CASE WHEN version = 3 AND NOT is_current THEN CAST(expiration_date + INTERVAL 30 DAY AS DATE) ELSE expiration_date END AS expiration_date
+  FROM dim WHERE version <> 2),
+k AS (SELECT customer_id, COUNT(*) FILTER (WHERE is_current) AS cur FROM bad GROUP BY 1),
+o AS (SELECT COUNT(*) AS n FROM bad b WHERE EXISTS (SELECT 1 FROM bad a WHERE a.customer_id = b.customer_id
+  AND a.version < b.version AND a.expiration_date >= b.effective_date)),
+g AS (SELECT COUNT(*) AS n FROM (SELECT expiration_date, lead(effective_date) OVER (PARTITION BY customer_id ORDER BY version) AS nxt FROM bad)
+  WHERE nxt > CAST(expiration_date + INTERVAL 1 DAY AS DATE)),
+r AS (SELECT COUNT(*) AS n FROM (SELECT 1 FROM bad GROUP BY customer_id, version HAVING COUNT(*) > 1))
+SELECT (SELECT COUNT(*) FROM k WHERE cur > 1) AS several_current, (SELECT COUNT(*) FROM k WHERE cur = 0) AS no_current,
+  (SELECT n FROM o) AS overlaps, (SELECT n FROM g) AS gaps, (SELECT n FROM r) AS repeated_versions""",
         "snapshots_v",
     ),
 )
 def scd2_problems(spark, sf):
-    return scd2.scd2_problems(closed_dim(spark, sf), ["customer_id"])
+    """A damaged dimension: second versions lost, third versions too long."""
+    longer = F.when((F.col("version") == 3) & ~F.col("is_current"), F.date_add("expiration_date", 30))
+    bad = closed_dim(spark, sf).where("version <> 2").withColumn(
+        "expiration_date", F.coalesce(longer, F.col("expiration_date"))
+    )
+    return scd2.scd2_problems(bad, ["customer_id"])
 
 
 @query("tier_history", with_tables(
