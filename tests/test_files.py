@@ -45,7 +45,7 @@ def _landing(root):
 def test_only_verified_files_load(spark, root):
     _landing(root)
     manifest = intake.verify_checksums(spark, f"{root}/*/*.csv")
-    name = F.regexp_extract("path", r"([a-z]+)_\d+", 1)
+    name = F.regexp_extract("path", r"/([a-z]+)_\d+\.csv$", 1)
     assert rows(manifest.select(name, "ok")) == [
         ("lazada", True), ("newcomer", False), ("shopee", True), ("tiktok", False)
     ]
