@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +60,8 @@ def slices(
     A single value over the limit makes a run of its own. The order of rows is kept.
     """
     for batch in batches:
-        at = batch.schema.get_field_index(size_of)
-        lengths = np.array([len(x) if x is not None else 0 for x in batch.column(at).to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_of))), 0)
+        lengths = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
         start = 0
         while start < batch.num_rows:
             ends = np.cumsum(lengths[start : start + most])

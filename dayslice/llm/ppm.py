@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SLICE_BYTES, id_bucket, joined, parted, ship, shuffle_partitions, slices, squeeze, unsqueeze, whole_text
+from .common import id_bucket, joined, parted, ship, shuffle_partitions, slices, squeeze, unsqueeze, whole_text
 
 ORDER = 5
 END, PAD = b"\xff", b"\xfe" * ORDER
@@ -35,6 +35,8 @@ SYMBOLS = 256
 #: Multiplying a trigram by an odd number modulo 2**24 is reversible and spreads neighbours over shards.
 MIX = 0x9E3779 | 1
 UNMIX = pow(MIX, -1, 1 << 24)
+#: Bytes of text that are cut into blocks at once; a task needs about 80 times as much memory for a moment.
+SLICE_BYTES = 3 << 20
 BLOCKS = "shard int, kind int, chunk string, payload binary"
 GRAMS, PAIRS, ROWS, TOTALS, BASE, MODEL = range(6)
 SCORES = (
@@ -95,7 +97,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _blocks(shards: int, word_shards: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE_BYTES):
             chunk, serial = f"{task}-{serial}", serial + 1
             texts = [t.lower() for t in rows["text"]]
             train = np.array([not h for h in rows["held_out"]], dtype=bool)
@@ -390,7 +392,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (two context bytes, byte) of each slice."""
-    for rows in slices(batches, "text"):
+    for rows in slices(batches, "text", SLICE_BYTES):
         for buffer, position, _ in _pieces([t.lower() for t in rows["text"]], SLICE_BYTES):
             wide = buffer.astype(np.uint32)
             gram = (wide[position - 2] << 16) | (wide[position - 1] << 8) | wide[position]
