@@ -6,18 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ppm
+from . import bitpack, lines, mtree, packing, ppm, simhash, urls
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed collection of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
+def op6_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Run] = {
     "op1_ppm_score": op1_ppm_score,
+    "op2_packed_ids": op2_packed_ids,
+    "op5_simhash_groups": op5_simhash_groups,
+    "op6_mtree_top_k": op6_mtree_top_k,
+    "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_best_fit": op9_best_fit,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_dedup": lines.SQL,
+}
