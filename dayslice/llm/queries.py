@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, lines, mtree, packing, ppm, simhash, urls
+from . import bitpack, dropout, lines, mtree, packing, ppm, simhash, sketch, toxicity, urls
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,15 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
@@ -48,14 +57,22 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    return dropout.encode(table(spark, sf_dir, "documents"), path, seed=2026, check=True)
+
+
 QUERIES: dict[str, Run] = {
     "op1_ppm_score": op1_ppm_score,
     "op2_packed_ids": op2_packed_ids,
+    "op3_scaled_sketch": op3_scaled_sketch,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_mtree_top_k": op6_mtree_top_k,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit": op9_best_fit,
+    "op10_merge_dropout": op10_merge_dropout,
 }
 
 SQL: dict[str, str] = {
