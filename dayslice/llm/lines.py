@@ -2,18 +2,22 @@
 
 Lines are counted by a 128-bit hash of their key. Each document gives each of its keys once, and
 the counting is split by (key, document) before it is summed by key, so a line that a third of all documents
-share lands in no single task. Only hashes and places travel for counting; a text moves once, to be rebuilt.
+share lands in no single task. The few keys with a large share of all lines are then found by a bounded broadcast.
+Only hashes and places travel for counting; a text moves once, to be rebuilt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import whole_text
 
 LEAST_CHARS = 1
 LEAST_DOCUMENTS = 10
+#: Keys with so large a share of all (document, key) pairs are joined by a broadcast: at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,9 +62,20 @@ def drop_common_lines(
         F.struct(*(c for c in names if c != text)).alias("row"),
     )
     hashed = _hashed(packed.select("doc", "mark", "text"), least_chars)
+    seen = Observation()
     counted = hashed.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("documents"))
-    common = counted.where(F.col("documents") >= least_documents).select("h1", "h2")
-    dropped = hashed.join(common, ["h1", "h2"], "left_semi").groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
+    counted = counted.observe(seen, F.coalesce(F.sum("documents"), F.lit(0)).alias("pairs"))
+    common = materialize(counted.where(F.col("documents") >= least_documents), "common")
+    # A key in a thousandth of all (document, key) pairs or more: there are at most a thousand of them.
+    often = F.col("documents") >= max(least_documents, seen.get["pairs"] * HOT_SHARE)
+    hot = common.where(often).select(F.col("h1").alias("_a"), F.col("h2").alias("_b"))
+    rest = common.where(~often).select(F.col("h1").alias("_c"), F.col("h2").alias("_d"))
+    # Lines of those keys are found where they are; for the join with the other keys they spread evenly.
+    flagged = hashed.join(F.broadcast(hot), (F.col("h1") == F.col("_a")) & (F.col("h2") == F.col("_b")), "left")
+    spread = flagged.withColumn("h1", F.when(F.col("_a").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "mark", "place")))
+    matched = spread.join(rest, (F.col("h1") == F.col("_c")) & (F.col("h2") == F.col("_d")), "left")
+    gone_lines = matched.where(F.col("_a").isNotNull() | F.col("_c").isNotNull())
+    dropped = gone_lines.groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
     lines = F.split("text", "\n", -1)
     marked = packed.join(dropped, ["doc", "mark"], "left").withColumn("lines", lines)
     gone = F.coalesce("places", F.array().cast("array<int>"))
