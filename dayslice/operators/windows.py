@@ -23,8 +23,8 @@ def day_grid(
 
 
 def daily_units(sales: DataFrame, key: str, date_col: str, units: str) -> DataFrame:
-    """Units per entity and day."""
-    return sales.groupBy(key, F.col(date_col).alias("day")).agg(F.sum(units).alias("units"))
+    """Units per entity and day; a time counts for its day."""
+    return sales.groupBy(key, F.col(date_col).cast("date").alias("day")).agg(F.sum(units).alias("units"))
 
 
 def avg_daily_units(
@@ -39,16 +39,20 @@ def avg_daily_units(
 ) -> DataFrame:
     """Trailing average of units for every entity and day in d0..d1; idle days count as zero.
 
-    The entities are those of a dimension table if given, else those with a sale.
+    Sales of the `days - 1` days before d0 are read too, so the first days have full averages. The entities
+    are those of a dimension table if given, else those with a sale in the days that are read.
     """
-    daily = daily_units(sales.where(F.col(date_col).between(day(d0), day(d1))), key, date_col, units)
+    start = shift(d0, -(days - 1))
+    read = sales.where((F.col(date_col) >= day(start)) & (F.col(date_col) < day(shift(d1, 1))))
+    daily = daily_units(read, key, date_col, units)
     keys = (daily if entities is None else entities).select(key).distinct()
-    grid = day_grid(keys, key, d0, d1)
+    grid = day_grid(keys, key, start, d1)
     trailing = Window.partitionBy(key).orderBy("day").rowsBetween(-(days - 1), 0)
     return (
         grid.join(daily, [key, "day"], "left")
         .withColumn("units", F.coalesce(F.col("units"), F.lit(0)))
         .withColumn("avg_units", F.sum("units").over(trailing).cast("double") / days)
+        .where(F.col("day") >= day(d0))
     )
 
 
@@ -59,13 +63,17 @@ def end_of_day_stock(
     d1: str | dt.date,
     key: str = "product_id",
     qty: str = "qty_change",
-    ts: str = "created_on",
+    ts: str = "created_at",
 ) -> DataFrame:
-    """Stock at the end of each day d0..d1: the current stock minus all later movements."""
+    """Stock at the end of each day d0..d1: the current stock minus all later movements.
+
+    `ts` is a date or a time; a movement belongs to the day it falls on.
+    """
+    moved_on = F.col(ts).cast("date")
     # Movements after d1 all count for every reported day, so they are one bucket.
-    bucket = F.when(F.col(ts) > day(d1), day(shift(d1, 1))).otherwise(F.col(ts))
+    bucket = F.when(moved_on > day(d1), day(shift(d1, 1))).otherwise(moved_on)
     daily = (
-        movements.where(F.col(ts) > day(d0))
+        movements.where(F.col(ts) >= day(shift(d0, 1)))
         .groupBy(key, bucket.alias("day"))
         .agg(F.sum(qty).alias("_moved"))
     )

@@ -12,14 +12,6 @@ from ..functions.columns import day, money, ratio, shift
 from ..operators.dedup import top_bottom_per_group
 from ..operators.joins import channel_sales
 from ..operators.shape import flag_products
-from ..operators.windows import end_of_day_stock
-
-
-def eod_stock(
-    inventory: DataFrame, movements: DataFrame, d0: str | dt.date, d1: str | dt.date
-) -> DataFrame:
-    """Stock per product at the end of each day, rebuilt from the current stock backwards."""
-    return end_of_day_stock(inventory, movements, d0, d1)
 
 
 def best_slow_sellers(items: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
@@ -103,10 +104,15 @@ def test_order_sequence_equals_the_plain_loop(spark, picks):
 def test_stock_is_rebuilt_backwards(spark):
     stock = spark.createDataFrame([(1, 2540), (2, 10)], "product_id int, stock_qty bigint")
     moves = spark.createDataFrame(
-        [(1, -139, d("2026-06-15")), (1, -171, d("2026-06-16")), (1, 5, d("2026-06-20"))],
-        "product_id int, qty_change bigint, created_on date",
+        [
+            (1, -139, dt.datetime(2026, 6, 15, 0, 0)), (1, -171, dt.datetime(2026, 6, 16, 23, 59, 59)),
+            (1, 5, dt.datetime(2026, 6, 20, 12)), (1, 99, dt.datetime(2026, 6, 14, 18)),
+        ],
+        "product_id int, qty_change bigint, created_at timestamp",
     )
     out = windows.end_of_day_stock(stock, moves, "2026-06-14", "2026-06-16")
+    dated = moves.withColumn("created_at", F.col("created_at").cast("date"))
+    assert rows(windows.end_of_day_stock(stock, dated, "2026-06-14", "2026-06-16")) == rows(out)
     got = {(r.product_id, r.snapshot_date.day): r.stock_qty for r in out.collect()}
     assert got == {(1, 14): 2845, (1, 15): 2706, (1, 16): 2535, (2, 14): 10, (2, 15): 10, (2, 16): 10}
 
@@ -118,6 +124,13 @@ def test_trailing_average_counts_idle_days(spark):
     assert (got[1], got[2], got[3], got[8], got[9]) == (1.0, 1.0, 3.0, 2.0, 2.0)
 
 
+def test_trailing_average_reads_the_days_before_its_first(spark):
+    sales = spark.createDataFrame([(1, dt.datetime(2026, 1, n, 13), 7) for n in range(1, 21)], "p int, on timestamp, n bigint")
+    out = windows.avg_daily_units(sales, "p", "on", "n", "2026-01-10", "2026-01-21")
+    got = {r.day.day: r.avg_units for r in out.collect()}
+    assert sorted(got) == list(range(10, 22)) and all(got[n] == 7.0 for n in range(10, 21)) and got[21] == 6.0
+
+
 def test_gap_day_has_no_prior(spark):
     fact = spark.createDataFrame([(d("2026-01-01"),)] * 2 + [(d("2026-01-03"),)] * 3 + [(d("2026-01-04"),)] * 6, "day date")
     got = {r.day.day: (r.n_rows, r.prior_rows, r.change) for r in windows.dod_change(fact, "day").collect()}

@@ -161,6 +161,29 @@ def avg_daily_units(spark, sf):
     )
 
 
+@query(
+    "avg_daily_units_from_mid_data",
+    with_tables(
+        """WITH d AS (SELECT p.brand, i.ship_date, SUM(i.quantity) AS units
+  FROM items_v i JOIN products_v p ON p.product_id = i.product_id GROUP BY 1, 2),
+g AS (SELECT brand, CAST(unnest(range(DATE '1998-03-10', DATE '2002-01-01', INTERVAL 1 DAY)) AS DATE) AS day
+  FROM (SELECT DISTINCT brand FROM products_v))
+SELECT g.brand, CAST(g.day AS VARCHAR) AS day,
+  CAST(COALESCE(SUM(d.units) FILTER (WHERE d.ship_date = g.day), 0) AS BIGINT) AS units,
+  CAST(COALESCE(SUM(d.units), 0) AS DOUBLE) / 7 AS avg_units
+FROM g LEFT JOIN d ON d.brand = g.brand AND d.ship_date BETWEEN g.day - INTERVAL 6 DAY AND g.day GROUP BY 1, 2""",
+        "items_v", "products_v",
+    ),
+)
+def avg_daily_units_from_mid_data(spark, sf):
+    """The report starts inside the data: its first days average sales from before it."""
+    brands = R.products_v(spark, sf).select("product_id", "brand")
+    sales = R.items_v(spark, sf).join(brands, "product_id")
+    return windows.avg_daily_units(
+        sales, "brand", "ship_date", "quantity", "1998-03-10", "2001-12-31", entities=brands
+    )
+
+
 @query(
     "order_sequence",
     with_tables(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayslice.functions import columns as C
+from dayslice.operators.windows import end_of_day_stock
 from dayslice.plans import customers, delivery, inventory, revenue
 
 from . import recipes as R
@@ -336,6 +337,12 @@ def product_ratings(spark, sf):
     return customers.ratings(reviews, R.products_v(spark, sf), R.shop_orders(spark, sf))
 
 
+def _time_of_day(day: str):
+    """A time on the day, another one for each line."""
+    seconds = F.pmod(F.col("order_id") * 7919, F.lit(86_400)).cast("int")
+    return F.timestamp_seconds(F.unix_timestamp(F.col(day).cast("timestamp")) + seconds)
+
+
 @query(
     "eod_stock",
     with_tables(
@@ -354,9 +361,9 @@ def eod_stock(spark, sf):
     stock = products.groupBy(F.col("brand").alias("product_id")).agg(F.sum("stock_qty").alias("stock_qty"))
     change = F.when(F.col("return_flag") == "R", F.col("quantity")).otherwise(-F.col("quantity"))
     moves = R.items_v(spark, sf).join(products.select("product_id", "brand"), "product_id").select(
-        F.col("brand").alias("product_id"), change.alias("qty_change"), F.col("ship_date").alias("created_on")
+        F.col("brand").alias("product_id"), change.alias("qty_change"), _time_of_day("ship_date").alias("created_at")
     )
-    return inventory.eod_stock(stock, moves, "1995-01-01", "2001-12-31")
+    return end_of_day_stock(stock, moves, "1995-01-01", "2001-12-31")
 
 
 @query(
