@@ -21,6 +21,10 @@ class ReconcileError(PipelineError):
     """Source and target disagree."""
 
 
+class LayoutError(PipelineError):
+    """A bucketed table was laid out otherwise than the caller says."""
+
+
 class DuplicateKeyError(PipelineError):
     """A merge source holds more than one row for a key."""
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import LayoutError
 from ..functions.columns import shift
 from ..operators.load import only_slice
 from ..operators.quality import gate
@@ -96,44 +98,82 @@ def publish(df: DataFrame, path: str, col: str, ds: str | dt.date, result: DataF
     return write_slice(df, path, col, ds)
 
 
+LAYOUT = "_layout.json"
+
+
+def bucket_count(n_bytes: int, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Buckets for a table of this size: a power of two, each bucket about `target_bytes`."""
+    return 1 << max(0, -(-n_bytes // target_bytes) - 1).bit_length()
+
+
+def _bucket_of(key: str, buckets: int) -> Column:
+    """Bucket of a key by its text, so that an int and a bigint of one value meet."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _write_layout(spark: SparkSession, path: str, layout: dict[str, str]) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LAYOUT}")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(json.dumps(layout).encode()))
+    stream.close()
+
+
+def read_layout(spark: SparkSession, path: str) -> dict[str, str]:
+    """Key column, its type and the bucket count that a bucketed table was created with."""
+    if not path_exists(spark, f"{path}/{LAYOUT}"):
+        raise LayoutError(f"{path} has no {LAYOUT}: create it with create_buckets")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LAYOUT}")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def merge_buckets(
     spark: SparkSession,
     path: str,
     batch: DataFrame,
     key: str,
     merge: Callable[[DataFrame, DataFrame], DataFrame],
-    buckets: int = 256,
+    buckets: int | None = None,
     bucket_col: str = "bucket",
 ) -> list[int]:
     """Merge a batch into a table laid out by hash bucket and rewrite only touched buckets.
 
-    `merge(target, batch)` is one of the load patterns. The old files of a bucket are
-    replaced when the job commits, so reading them in the same job is safe; a bucket the
-    merge leaves empty is removed after that. Running the batch again gives the same table
-    as long as the merge itself is repeatable. The lists of touched and kept buckets have
-    at most `buckets` entries.
+    Bucket count and key type are stored with the table: the batch's key is cast to that type, and another
+    count or key is refused. `merge(target, batch)` is one of the load patterns; a merged row that lies in a bucket
+    that was not read fails the job before anything is replaced. The old files of a bucket are replaced when the job
+    commits, so reading them in the same job is safe; a bucket the merge leaves empty is removed after that. Running
+    the batch again gives the same table as long as the merge itself is repeatable. The lists of
+    touched and kept buckets have at most as many entries as the table has buckets.
     """
-    def with_bucket(df: DataFrame) -> DataFrame:
-        return df.withColumn(bucket_col, F.pmod(F.hash(key), F.lit(buckets)))
-
-    touched = sorted(r[0] for r in with_bucket(batch.select(key)).select(bucket_col).distinct().collect())
+    layout = read_layout(spark, path)
+    count = int(layout["buckets"])
+    if layout["key"] != key or buckets not in (None, count):
+        raise LayoutError(f"{path} is laid out by {layout['key']} in {count} buckets, not by {key} in {buckets}")
+    batch = batch.withColumn(key, F.col(key).cast(layout["type"]))
+    touched = sorted(r[0] for r in batch.select(_bucket_of(key, count).alias(bucket_col)).distinct().collect())
     if not touched:
         return touched
     old = spark.read.parquet(path).where(F.col(bucket_col).isin(touched)).drop(bucket_col)
     kept = Observation()
-    merged = with_bucket(merge(old, batch))
+    bucket = _bucket_of(key, count)
+    foreign = F.raise_error(F.concat(F.lit("merged row in a bucket that was not read: "), bucket.cast("string")))
+    merged = merge(old, batch).withColumn(bucket_col, F.when(bucket.isin(touched), bucket).otherwise(foreign.cast("int")))
     write_slices(merged.observe(kept, F.collect_set(bucket_col).alias("buckets")), path, bucket_col)
-    for bucket in sorted(set(touched) - set(kept.get["buckets"])):
-        drop_slice(spark, path, bucket_col, bucket)
+    for empty in sorted(set(touched) - set(kept.get["buckets"])):
+        drop_slice(spark, path, bucket_col, empty)
     return touched
 
 
 def create_buckets(
     df: DataFrame, path: str, key: str, buckets: int = 256, bucket_col: str = "bucket"
 ) -> None:
-    """First write of a table for `merge_buckets`."""
-    laid_out = df.withColumn(bucket_col, F.pmod(F.hash(key), F.lit(buckets)))
-    write_slices(laid_out, path, bucket_col)
+    """First write of a table for `merge_buckets`, with its layout beside it."""
+    write_slices(df.withColumn(bucket_col, _bucket_of(key, buckets)), path, bucket_col)
+    kind = df.schema[key].dataType.simpleString()
+    _write_layout(df.sparkSession, path, {"key": key, "type": kind, "buckets": str(buckets)})
 
 
 def upsert_table(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from dayslice.errors import DuplicateKeyError
+from dayslice.errors import DuplicateKeyError, LayoutError
 from dayslice.operators import load
 from dayslice.sources import writers
 from dayslice.sources.readers import read_partitioned
@@ -185,6 +185,37 @@ def test_bucket_merge_rewrites_only_touched_buckets(spark, root):
     assert table.count() == 101 and rows(table.where("v > 0")) == [(3, 1), (500, 2)]
 
 
+def test_bucket_merge_loses_no_row(spark, root):
+    path = f"{root}/b"
+    writers.create_buckets(spark.range(1000).select("id", F.lit(0).alias("v")), path, "id", 16)
+
+    def upsert(old, new):
+        return load.upsert_all(old, new, ["id"])
+
+    one = spark.createDataFrame([(7, 1)], "id int, v int")
+    writers.merge_buckets(spark, path, one, "id", upsert)
+    table = writers.read_buckets(spark, path)
+    assert table.count() == 1000 and table.schema["id"].dataType.simpleString() == "bigint"
+    with pytest.raises(LayoutError):
+        writers.merge_buckets(spark, path, one, "id", upsert, 8)
+    with pytest.raises(LayoutError):
+        writers.merge_buckets(spark, path, one, "v", upsert)
+    many = spark.range(500, 3000).select(F.col("id").cast("string").alias("id"), F.lit(2).alias("v"))
+    for _ in range(2):
+        assert writers.merge_buckets(spark, path, many, "id", upsert, 16) == list(range(16))
+    assert rows(writers.read_buckets(spark, path).groupBy("v").count()) == [(0, 499), (1, 1), (2, 2500)]
+    # A merge that makes rows of other buckets must not replace what it has not read.
+    with pytest.raises(Exception, match="not read"):
+        writers.merge_buckets(spark, path, one, "id", lambda o, n: o.unionByName(n).withColumn("id", F.col("id") + 1))
+    assert writers.read_buckets(spark, path).count() == 3000
+    with pytest.raises(LayoutError):
+        writers.merge_buckets(spark, f"{root}/none", one, "id", upsert)
+
+
+def test_bucket_count_follows_the_size():
+    assert [writers.bucket_count(n << 20) for n in (0, 1, 128, 129, 1000)] == [1, 1, 1, 2, 8]
+
+
 def test_slices_deleted_on_disk(spark, root, six_orders):
     writers.write_slices(six_orders, f"{root}/t", "order_date")
     assert writers.delete_slices(spark, f"{root}/t", "order_date", "2026-01-10", "2026-01-15") == [d("2026-01-15")]
