@@ -40,6 +40,16 @@ def money(c: Column | str) -> Column:
     return as_col(c).cast("decimal(18,2)")
 
 
+def exact(c: Column | str) -> Column:
+    """An amount with the digits it has; sums of it do not depend on row order."""
+    return as_col(c).cast("decimal(28,6)")
+
+
+def total(c: Column | str) -> Column:
+    """Sum of amounts, rounded to two digits once, after the sum."""
+    return F.sum(exact(c)).cast("decimal(28,2)")
+
+
 def half_up(c: Column | str, digits: int) -> Column:
     """Round a double half up by plain arithmetic, so that other engines agree."""
     scale = 10.0**digits

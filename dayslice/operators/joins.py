@@ -87,13 +87,18 @@ def skew_join(
     salts: int = 16,
     how: str = "inner",
     share: float = 0.01,
+    spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi-join where single keys hold a large share of `big`.
 
     AQE splits such keys in a merge join by itself; this is for plans where it cannot, such
-    as a join under a window on the same key. Only hot keys are salted: their rows on the
-    big side spread over `salts` groups and the few matching small rows are repeated once
-    per salt. Other keys go unchanged.
+    as a join under a window on the same key. Only hot keys are salted: the few matching small
+    rows are repeated once per salt, other keys go unchanged.
+
+    Without `spread`, equal rows are first counted, with map-side combining, and a count is dealt
+    over the salts, so even a frame of the key alone spreads; the rows are repeated after the join.
+    `spread` names columns that tell rows of one key apart: their hash is the salt, nothing is
+    counted, and columns that use less than half of the salts are refused.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError("the salted side must be the preserved one")
@@ -101,13 +106,35 @@ def skew_join(
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    if spread is None:
+        left = salted_counts(big, is_hot, salts)
+    else:
+        salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+        used = big.where(is_hot).select(salt.alias("salt")).distinct().count()
+        if used < salts // 2:
+            raise ValueError(f"columns {list(spread)} use {used} of {salts} salts")
+        left = big.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    left = big.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
     right = small.withColumn(
         "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    joined = left.join(right, [key, "_salt"], how).drop("_salt")
+    if spread is None:
+        joined = joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+    return joined
+
+
+def salted_counts(df: DataFrame, is_hot: Column, salts: int) -> DataFrame:
+    """Distinct rows with a count `_n` and a `_salt`; a hot row's count is dealt over up to `salts` rows."""
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_all"))
+    parts = F.when(is_hot, F.least(F.col("_all"), F.lit(salts))).otherwise(F.lit(1)).cast("int")
+    numbered = counted.withColumn("_parts", parts).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    )
+    first = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    salt = F.when(is_hot, F.pmod(first + F.col("_i"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    dealt = F.floor((F.col("_all") + F.col("_parts") - 1 - F.col("_i")) / F.col("_parts"))
+    return numbered.select(*df.columns, salt.alias("_salt"), dealt.alias("_n"))
 
 
 def channel_sales(direct_items: DataFrame, marketplace: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import datetime as dt
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ReconcileError
-from ..functions.columns import day, shift
+from ..functions.columns import count_if, day, shift
+from .reconcile import Check
 
 
 def write_compact(df: DataFrame, path: str, part: str, mode: str = "overwrite") -> None:
@@ -104,12 +105,31 @@ def lag_prune(
 ) -> DataFrame:
     """Filter lo <= ts < hi and add the slices that can hold such rows.
 
-    If ts is at most `max_lag_days` after the slice date, only the slices from lo minus the
-    lag to hi can match; the optimizer cannot know that, so the bound is stated.
+    If ts is never before the slice date and at most `max_lag_days` after it, only the slices from lo minus
+    the lag to hi can match; the optimizer cannot know that, so the bound is stated. A row of a scanned slice that
+    breaks it fails the job; `lag_violations` finds such rows in all slices.
     """
-    inside = (F.col(ts) >= day(lo)) & (F.col(ts) < day(hi))
     slices = F.col(part).between(day(shift(lo, -max_lag_days)), day(hi))
-    return df.where(slices & inside)
+    broken = F.raise_error(F.concat(F.lit(f"{ts} is outside 0..{max_lag_days} days after slice "), F.col(part).cast("string")))
+    inside = (F.col(ts) >= day(lo)) & (F.col(ts) < day(hi))
+    checked = F.when(_outside_lag(ts, part, max_lag_days), broken.cast("boolean")).otherwise(inside)
+    return df.where(slices).where(checked)
+
+
+def _outside_lag(ts: str, part: str, max_lag_days: int) -> Column:
+    lag = F.datediff(F.col(ts).cast("date"), F.col(part))
+    return F.coalesce(~lag.between(0, max_lag_days), F.lit(False))
+
+
+def lag_violations(df: DataFrame, ts: str, part: str, max_lag_days: int) -> DataFrame:
+    """Rows whose time is before their slice or more than the lag after it; a missing time breaks nothing."""
+    return df.where(_outside_lag(ts, part, max_lag_days))
+
+
+def check_lag(df: DataFrame, ts: str, part: str, max_lag_days: int) -> Check:
+    """No row breaks the bound that `lag_prune` relies on."""
+    figures = {"broken": count_if(_outside_lag(ts, part, max_lag_days))}
+    return Check("lag", [(df, figures)], lambda f: (f("broken") == 0, F.lit(0), f("broken")))
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:

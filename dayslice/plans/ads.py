@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, day, half_up, money, safe_ratio
+from ..functions.columns import count_if, day, half_up, safe_ratio, total
 from ..operators.dedup import keep_first
 from ..operators.shape import in_domain, normalize_ids, on_day, select_known
 
@@ -63,7 +63,7 @@ def campaign_metrics(events: DataFrame, by: tuple[str, ...] = ("campaign",)) ->
         .agg(
             F.count("*").alias("impressions"),
             count_if(F.col("is_click")).alias("clicks"),
-            F.sum(money("cost_usd")).alias("spend_usd"),
+            total("cost_usd").alias("spend_usd"),
         )
         .withColumn("ctr", safe_ratio("clicks", "impressions"))
     )

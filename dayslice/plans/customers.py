@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, day, money, ratio, safe_ratio, tier
+from ..functions.columns import count_if, day, ratio, safe_ratio, tier, total
 from ..operators.scd2 import scd2_from_snapshots
 
 
@@ -19,7 +19,7 @@ def tier_spend(
     labels: Sequence[str],
 ) -> DataFrame:
     """Loyalty tier against what customers really spend; customers without orders count as 0."""
-    spend = orders.groupBy("customer_id").agg(F.sum(money("total_amount")).alias("spend"))
+    spend = orders.groupBy("customer_id").agg(total("total_amount").alias("spend"))
     known = customers.select("customer_id", "loyalty_tier").join(spend, "customer_id", "left")
     amount = F.coalesce(F.col("spend"), F.lit(0).cast("decimal(28,2)"))
     return (
@@ -41,7 +41,7 @@ def campaign_effect(vouchers: DataFrame, orders: DataFrame, items: DataFrame) ->
     Items are summed per order, orders per voucher, and only then is the campaign joined, so
     no step multiplies rows. Campaigns nobody used appear with zeros.
     """
-    value = items.groupBy("order_id").agg(F.sum(money("total_price")).alias("value"))
+    value = items.groupBy("order_id").agg(total("total_price").alias("value"))
     used = orders.where(F.col("voucher_code").isNotNull())
     per_voucher = (
         used.select("order_id", "voucher_code", "discount_amount")
@@ -50,7 +50,7 @@ def campaign_effect(vouchers: DataFrame, orders: DataFrame, items: DataFrame) ->
         .agg(
             F.count("*").alias("uses"),
             F.sum("value").alias("revenue"),
-            F.sum(money("discount_amount")).alias("discount_cost"),
+            total("discount_amount").alias("discount_cost"),
         )
     )
     zero = F.lit(0)

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import RISK_BASE, count_if, money, risk_score
+from ..functions.columns import RISK_BASE, count_if, exact, risk_score, total
 from ..operators.dedup import top_per_group
 from ..operators.joins import join_copartitioned, join_current
 from ..operators.layout import lag_prune
@@ -23,7 +23,7 @@ def customer_daily(orders: DataFrame, ds: str | dt.date | None = None) -> DataFr
     """Orders and spend per customer and day."""
     rows = orders if ds is None else on_day(orders, "order_date", ds)
     return rows.groupBy("customer_id", "order_date").agg(
-        F.count("*").alias("order_count"), F.sum(money("amount")).alias("total_amount")
+        F.count("*").alias("order_count"), total("amount").alias("total_amount")
     )
 
 
@@ -31,13 +31,13 @@ def daily_revenue(orders: DataFrame, ds: str | dt.date | None = None) -> DataFra
     """Orders and revenue per partner and day."""
     rows = orders if ds is None else on_day(orders, "order_date", ds)
     return rows.groupBy("order_date", "partner").agg(
-        F.count("*").alias("order_count"), F.sum(money("amount")).alias("total_revenue")
+        F.count("*").alias("order_count"), total("amount").alias("total_revenue")
     )
 
 
 def state_gmv(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
     """Item value per customer state: summed per order, then per customer, then joined."""
-    per_order = items.groupBy("order_id").agg(F.sum(money("price")).alias("gmv"))
+    per_order = items.groupBy("order_id").agg(F.sum(exact("price")).alias("gmv"))
     per_customer = (
         orders.select("order_id", "customer_id")
         .join(per_order, "order_id")
@@ -47,17 +47,24 @@ def state_gmv(orders: DataFrame, items: DataFrame, customers: DataFrame) -> Data
     return (
         per_customer.join(customers.select("customer_id", "customer_state"), "customer_id")
         .groupBy("customer_state")
-        .agg(F.sum("gmv").alias("gmv"))
+        .agg(F.sum("gmv").cast("decimal(28,2)").alias("gmv"))
     )
 
 
-def status_category_gmv(orders: DataFrame, items: DataFrame, recent: Column) -> DataFrame:
-    """Item value per order status and category for the orders that meet a condition."""
-    kept = orders.where(recent).select("order_id", "order_status")
+def status_category_gmv(
+    orders: DataFrame, items: DataFrame, recent: Column, part: str | None = None
+) -> DataFrame:
+    """Item value per order status and category for the orders that meet a condition.
+
+    `part` names a slice column that orders and their items share; a condition on it then
+    prunes both scans.
+    """
+    on_slice = [] if part is None else [part]
+    kept = orders.where(recent).select("order_id", "order_status", *on_slice)
     return (
-        kept.join(items.select("order_id", "product_category", "price"), "order_id")
+        kept.join(items.select("order_id", "product_category", "price", *on_slice), ["order_id", *on_slice])
         .groupBy("order_status", "product_category")
-        .agg(F.sum(money("price")).alias("gmv"))
+        .agg(total("price").alias("gmv"))
     )
 
 
@@ -68,7 +75,8 @@ def category_revenue(
     hi: str | dt.date,
     approved: str = "approved_at",
     part: str = "order_date",
-    max_lag_days: int = 2,
+    *,
+    max_lag_days: int,
 ) -> DataFrame:
     """Revenue, items and coupons per category for orders approved in lo <= t < hi.
 
@@ -83,7 +91,7 @@ def category_revenue(
         part,
     )
     return joined.groupBy("product_category").agg(
-        F.sum(money("price")).alias("revenue"),
+        total("price").alias("revenue"),
         F.count("*").alias("items_sold"),
         F.count_distinct("coupon_code").alias("coupons_used"),
     )
@@ -99,9 +107,9 @@ def daily_ops(orders: DataFrame) -> DataFrame:
 def seller_product_stats(items: DataFrame) -> DataFrame:
     """Price and shipping statistics per seller, category and product."""
     return items.groupBy("seller_id", "product_category", "product_id").agg(
-        F.sum(money("price")).alias("sum_price"),
+        total("price").alias("sum_price"),
         F.count("*").alias("n"),
-        (F.sum(money("price")).cast("double") / F.count("*")).alias("avg_price"),
+        (F.sum(exact("price")).cast("double") / F.count("*")).alias("avg_price"),
         F.max("shipping_charges").alias("max_ship"),
         F.min("shipping_charges").alias("min_ship"),
     )

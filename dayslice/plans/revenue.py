@@ -7,12 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, day, money, ratio
+from ..functions.columns import count_if, day, exact, money, ratio, total
 from ..operators.shape import flag_order_anomalies, rollup_sum, top_k
 
 
 def _sum_when(cond: Column, value: Column) -> Column:
-    return F.sum(F.when(cond, value).otherwise(F.lit(0).cast("decimal(18,2)")))
+    return F.sum(F.when(cond, value).otherwise(F.lit(0).cast("decimal(28,6)"))).cast("decimal(28,2)")
 
 
 def direct_revenue(orders: DataFrame, ds: str | dt.date | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def direct_revenue(orders: DataFrame, ds: str | dt.date | None = None) -> DataFr
     good = ~F.col("is_over_discounted")
     return flagged.groupBy("order_date").agg(
         count_if(good).alias("orders"),
-        _sum_when(good, money("total_amount")).alias("revenue"),
+        _sum_when(good, exact("total_amount")).alias("revenue"),
         count_if(F.col("is_over_discounted")).alias("excluded_orders"),
         count_if(F.col("is_zero_shipping")).alias("zero_shipping_orders"),
     )
@@ -82,7 +82,7 @@ def avg_customer_spend(orders: DataFrame, grain: str = "day") -> DataFrame:
     """Mean of what each active customer spent per day or month."""
     period = F.trunc("order_date", "MM") if grain == "month" else F.col("order_date")
     per_customer = orders.groupBy(period.alias("period"), "customer_id").agg(
-        F.sum(money("total_amount")).alias("spend")
+        total("total_amount").alias("spend")
     )
     return per_customer.groupBy("period").agg(
         F.count("*").alias("customers"),
@@ -94,8 +94,8 @@ def discount_impact(orders: DataFrame, vouchers: DataFrame) -> DataFrame:
     """Gross value, discount and their ratio per campaign; orders without a voucher are one group."""
     per_voucher = orders.groupBy("voucher_code").agg(
         F.count("*").alias("orders"),
-        F.sum(money("subtotal")).alias("subtotal"),
-        F.sum(money("discount_amount")).alias("discount"),
+        total("subtotal").alias("subtotal"),
+        total("discount_amount").alias("discount"),
     )
     named = per_voucher.join(vouchers.select("voucher_code", "campaign_id"), "voucher_code", "left")
     return (
@@ -117,7 +117,7 @@ def net_after_refund(orders: DataFrame, returns: DataFrame) -> DataFrame:
     paid = (
         returns.where(F.col("status") == "refunded")
         .groupBy("order_id")
-        .agg(F.sum(money("refund_amount")).alias("refunded"))
+        .agg(total("refund_amount").alias("refunded"))
     )
     refunded = F.coalesce(F.col("refunded"), F.lit(0).cast("decimal(18,2)"))
     return orders.join(paid, "order_id", "left").select(
@@ -162,6 +162,6 @@ def earned_vs_received(sales: DataFrame) -> DataFrame:
 def top_customers(orders: DataFrame, k: int = 10) -> DataFrame:
     """Customers with the highest spend; ties go to the lower id."""
     spend = orders.groupBy("customer_id").agg(
-        F.sum(money("total_amount")).alias("spend"), F.count("*").alias("orders")
+        total("total_amount").alias("spend"), F.count("*").alias("orders")
     )
     return top_k(spend, [F.col("spend").desc(), F.col("customer_id").asc()], k)

@@ -43,10 +43,10 @@ def query_table(
     df: DataFrame,
     where: str | None = None,
     columns: Sequence[str] | None = None,
-    limit: int | None = 10,
+    limit: int | None = None,
     sql: str | None = None,
 ) -> DataFrame:
-    """Look into a table: filter, columns and limit, or a SELECT over the alias `tbl`."""
+    """Look into a table: filter, columns and, if asked, a limit, or a SELECT over the alias `tbl`."""
     if sql is not None:
         df.createOrReplaceTempView("tbl")
         return df.sparkSession.sql(sql)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from dayslice.errors import EmptySourceError
 from dayslice.operators import layout, load
-from dayslice.operators.joins import hot_keys, join_copartitioned, skew_join
+from dayslice.operators.joins import hot_keys, join_copartitioned, salted_counts, skew_join
 from dayslice.plans.orders import category_revenue, state_gmv, top_order_per_customer
 from dayslice.session import shared_dir, shuffle_partitions
-from dayslice.sources import catalog, generate, intake, readers, shipments, writers
+from dayslice.sources import catalog, intake, readers, shipments, writers
 
 from .conftest import d, rows
 
@@ -173,7 +173,7 @@ def _sales(spark, root):
 
 def test_lagged_filter_prunes_both_sides(spark, root):
     orders, items = _sales(spark, root)
-    out = category_revenue(orders, items, "2026-07-07", "2026-07-08")
+    out = category_revenue(orders, items, "2026-07-07", "2026-07-08", max_lag_days=2)
     pruned = [line for line in layout.plan_text(out).splitlines() if line.startswith("PartitionFilters")]
     assert len(pruned) >= 2 and all("order_date" in line and "2026-07-05" in line for line in pruned)
     plain = orders.where("approved_at = DATE '2026-07-07'").join(items.drop("order_date"), "order_id")
@@ -199,34 +199,59 @@ def test_pushdown_and_pruned_columns(spark, root):
     assert "GreaterThan(id,50)" in plan and "ReadSchema: struct<id:bigint,b:bigint>" in plan
 
 
-def test_generated_tables_ignore_partitioning(spark):
-    assert rows(generate.gen_orders(spark, 500, 50)) == rows(generate.gen_orders(spark, 500, 50).repartition(7))
-    orders, items = generate.gen_orders(spark, 2000, 100), generate.gen_items(spark, 4000, 2000)
-    hot = orders.where(F.col("customer_id") == generate.HOT_CUSTOMER).count() / 2000
-    assert 0.25 < hot < 0.36
-    same = items.join(orders.select("order_id", F.col("order_date").alias("od")), "order_id")
-    assert same.where("order_date <> od").count() == 0 and same.count() == 4000
+def test_lag_prune_fails_on_rows_that_break_the_bound(spark):
+    df = spark.createDataFrame([(1, d("2026-01-02"), d("2026-01-01")), (2, d("2026-01-09"), d("2026-01-01")), (3, d("2025-12-31"), d("2026-01-01")), (4, None, d("2026-01-01"))], "id int, ts date, part date")
+    assert rows(layout.lag_prune(df.where("id in (1, 4)"), "ts", "2026-01-01", "2026-01-05", "part", 2), "id") == [(1,)]
+    for i in (2, 3):
+        with pytest.raises(Exception, match="outside"):
+            layout.lag_prune(df.where(f"id = {i}"), "ts", "2026-01-01", "2026-01-05", "part", 2).collect()
+    assert rows(layout.lag_violations(df, "ts", "part", 2), "id") == [(2,), (3,)]
+
+
+def hot_orders(spark, n=3000, customers=500):
+    """Orders of which three in ten belong to customer 1."""
+    return spark.range(n).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 10 < 3, F.lit(1)).otherwise(F.col("id") % customers + 1).cast("bigint").alias("customer_id"),
+    )
+
+
+def states(spark, n):
+    return spark.range(1, n + 1).select(
+        F.col("id").alias("customer_id"), F.element_at(F.array(*[F.lit(x) for x in "ABC"]), (F.col("id") % 3 + 1).cast("int")).alias("customer_state")
+    )
 
 
 def test_hot_keys_found_and_join_unchanged(spark):
-    big = generate.gen_orders(spark, 3000, 500).select("order_id", "customer_id")
-    small = generate.gen_customers(spark, 500)
-    assert generate.HOT_CUSTOMER in hot_keys(big, "customer_id", 0.05)
-    assert rows(skew_join(big, small, "customer_id", 8)) == rows(big.join(small, "customer_id"))
-    lost = small.where(F.col("customer_id") != generate.HOT_CUSTOMER)
-    for how in ("left", "left_anti", "left_semi"):
-        assert rows(skew_join(big, lost, "customer_id", 8, how)) == rows(big.join(lost, "customer_id", how))
+    big, small = hot_orders(spark), states(spark, 500)
+    assert 1 in hot_keys(big, "customer_id", 0.05)
+    lost = small.where("customer_id <> 1")
+    for spread in (None, ["order_id"]):
+        assert rows(skew_join(big, small, "customer_id", 8, spread=spread)) == rows(big.join(small, "customer_id"))
+        for how in ("left", "left_anti", "left_semi"):
+            assert rows(skew_join(big, lost, "customer_id", 8, how, spread=spread)) == rows(big.join(lost, "customer_id", how))
     with pytest.raises(ValueError):
         skew_join(big, small, "customer_id", how="right")
 
 
+def test_a_frame_of_the_key_alone_spreads(spark):
+    narrow = hot_orders(spark).select("customer_id")
+    dealt = salted_counts(narrow, F.col("customer_id") == 1, 16).where("customer_id = 1")
+    assert dealt.select("_salt").distinct().count() == 16
+    by_salt = [r.n for r in dealt.groupBy("_salt").agg(F.sum("_n").alias("n")).collect()]
+    assert sum(by_salt) == narrow.where("customer_id = 1").count() and max(by_salt) - min(by_salt) <= 1
+    assert rows(skew_join(narrow, states(spark, 500), "customer_id", 16)) == rows(narrow.join(states(spark, 500), "customer_id"))
+    with pytest.raises(ValueError, match="salts"):
+        skew_join(narrow, states(spark, 500), "customer_id", 16, spread=["customer_id"])
+
+
 def test_state_totals_with_a_hot_customer(spark):
-    orders, items = generate.gen_orders(spark, 2000, 100), generate.gen_items(spark, 4000, 2000)
-    people = generate.gen_customers(spark, 101)
-    plain = orders.join(items.drop("order_date"), "order_id").join(people, "customer_id").groupBy("customer_state").agg(
-        F.sum(F.col("price").cast("decimal(18,2)")).alias("gmv")
+    orders, people = hot_orders(spark, 2000, 100), states(spark, 101)
+    items = spark.range(4000).select((F.col("id") % 2000).alias("order_id"), (F.col("id") % 97 + 0.5).alias("price"))
+    plain = orders.join(items, "order_id").join(people, "customer_id").groupBy("customer_state").agg(
+        F.sum(F.col("price").cast("decimal(18,2)")).cast("decimal(18,2)").alias("gmv")
     )
-    assert rows(state_gmv(orders, items, people)) == rows(plain)
+    assert rows(state_gmv(orders, items, people).select("customer_state", F.col("gmv").cast("decimal(18,2)"))) == rows(plain)
 
 
 def test_current_version_join_gives_one_row_per_customer(spark):

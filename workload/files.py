@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from dayslice.functions import columns as C
-from dayslice.operators import layout
+from dayslice.operators import layout, reconcile
 from dayslice.operators.numbering import number_rows
 from dayslice.session import new_dir
 from dayslice.sources import catalog, intake, readers, shipments, writers
@@ -95,6 +95,35 @@ def lag_prune(spark, sf):
     return kept.select("order_id", "order_date")
 
 
+@query(
+    "lag_violations",
+    with_tables(
+        """SELECT order_id, CAST(order_date AS VARCHAR) AS order_date FROM orders_v WHERE order_status = 'F'""",
+        "orders_v",
+    ),
+)
+def lag_violations(spark, sf):
+    """Orders of one status are approved a day before or three days after their slice."""
+    odd = F.when(F.col("order_id") % 2 == 0, F.lit(-1)).otherwise(F.lit(3))
+    lag = F.when(F.col("order_status") == "F", odd).otherwise(F.lit(2))
+    orders = R.orders_v(spark, sf).withColumn("approved_at", F.date_add("order_date", lag))
+    return layout.lag_violations(orders, "approved_at", "order_date", 2).select("order_id", "order_date")
+
+
+@query(
+    "lag_check",
+    with_tables(
+        """SELECT 'lag' AS check_name, COUNT(*) FILTER (WHERE order_status = 'F') = 0 AS passed, 0::DOUBLE AS expected,
+  CAST(COUNT(*) FILTER (WHERE order_status = 'F') AS DOUBLE) AS observed FROM orders_v""",
+        "orders_v",
+    ),
+)
+def lag_check(spark, sf):
+    lag = F.when(F.col("order_status") == "F", F.lit(9)).otherwise(F.lit(0))
+    orders = R.orders_v(spark, sf).withColumn("approved_at", F.date_add("order_date", lag))
+    return reconcile.evaluate(layout.check_lag(orders, "approved_at", "order_date", 2))
+
+
 @query(
     "file_stats",
     "SELECT COUNT(*) AS n_rows, 1::BIGINT AS n_files FROM lineitem",

@@ -145,6 +145,11 @@ def _categorized(spark, sf):
     return R.items_v(spark, sf).join(category, "product_id")
 
 
+def _sliced_items(spark, sf):
+    """Items with the order's date, the slice column that both tables share."""
+    return _categorized(spark, sf).join(R.orders_v(spark, sf).select("order_id", "order_date"), "order_id")
+
+
 @query(
     "state_gmv",
     with_tables(
@@ -169,7 +174,7 @@ WHERE o.order_date >= DATE '1998-01-01' GROUP BY 1, 2""",
 )
 def status_category_gmv(spark, sf):
     recent = F.col("order_date") >= C.day("1998-01-01")
-    return order_plans.status_category_gmv(R.orders_v(spark, sf), _categorized(spark, sf), recent)
+    return order_plans.status_category_gmv(R.orders_v(spark, sf), _sliced_items(spark, sf), recent, "order_date")
 
 
 @query(
@@ -189,9 +194,8 @@ def category_revenue(spark, sf):
             "coupon_code": F.when(F.col("order_status") == "F", F.col("partner")),
         }
     )
-    slices = R.orders_v(spark, sf).select("order_id", "order_date")
-    items = _categorized(spark, sf).join(slices, "order_id")
-    return order_plans.category_revenue(orders, items, "1998-01-01", "1999-01-01")
+    items = _sliced_items(spark, sf)
+    return order_plans.category_revenue(orders, items, "1998-01-01", "1999-01-01", max_lag_days=2)
 
 
 @query(
