@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import day
+from .readers import FILE
 
 
 def verify_checksums(spark: SparkSession, glob: str) -> DataFrame:
@@ -32,13 +33,9 @@ def verify_checksums(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def accepted_rows(df: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows of files that passed verification; rows of rejected files never load."""
-    good = manifest.where("ok").select(F.col("path").alias("_file"))
-    return (
-        df.withColumn("_file", F.col("_metadata.file_path"))
-        .join(good, "_file", "left_semi")
-        .drop("_file")
-    )
+    """Rows of files that passed verification, by their `source_file`; rows of rejected files never load."""
+    good = manifest.where("ok").select(F.col("path").alias(FILE))
+    return df.join(good, FILE, "left_semi").drop(FILE)
 
 
 def missing_files(

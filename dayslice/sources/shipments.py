@@ -22,9 +22,19 @@ def read_shipment_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENVELOPE).json(path)
 
 
+def shipment_rejects(docs: DataFrame, json_col: str) -> DataFrame:
+    """Documents that are no answer of a carrier: cut off, no JSON, or with neither list."""
+    parsed = F.from_json(F.col(json_col), f"{ENVELOPE}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    judged = docs.withColumn("_d", parsed)
+    broken = F.col("_d._corrupt_record").isNotNull() | (F.col("_d.shipments").isNull() & F.col("_d.not_found").isNull())
+    return judged.where(F.coalesce(broken, F.lit(True))).drop("_d")
+
+
 def parse_shipments(docs: DataFrame, json_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Shipments, one row each with real timestamps and dates, and the order ids not found.
 
+    Documents that cannot be read give no row here; `shipment_rejects` returns them.
+
     Texts carry an offset; as timestamps they are instants, so carriers in different zones
     compare. A text that is no time gives NULL and keeps the row.
     """

@@ -23,7 +23,8 @@ def stream_landing(
     """Files as they land, with a stated schema and a bounded batch."""
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # A header that differs from the schema stops the stream instead of shifting columns.
+        reader = reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)

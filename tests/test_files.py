@@ -9,7 +9,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from dayslice.errors import EmptySourceError
+from dayslice.errors import EmptySourceError, SchemaDriftError
 from dayslice.operators import layout, load
 from dayslice.operators.joins import hot_keys, join_copartitioned, salted_counts, skew_join
 from dayslice.plans.orders import category_revenue, state_gmv, top_order_per_customer
@@ -25,7 +25,7 @@ def _put(path, text):
         f.write(text)
 
 
-HEADER = "external_order_id,product_id,seller_sku,partner,order_date,quantity_sold,sale_price,platform_discount,commission_rate,net_revenue,settlement_date,status\n"
+HEADER = "external_order_id,shop_product_id,seller_sku,partner,order_date,quantity_sold,sale_price,platform_discount,commission_rate,net_revenue,settlement_date,status\n"
 
 
 def _sale(partner, n):
@@ -49,13 +49,13 @@ def test_only_verified_files_load(spark, root):
     assert rows(manifest.select(name, "ok")) == [
         ("lazada", True), ("newcomer", False), ("shopee", True), ("tiktok", False)
     ]
-    loaded = intake.accepted_rows(readers.read_marketplace(spark, root), manifest)
+    loaded = intake.accepted_rows(readers.read_marketplace(spark, root)[0], manifest)
     assert rows(loaded, "partner", "net_revenue") == [("lazada", 184), ("shopee", 184)]
 
 
 def test_new_partner_needs_no_code(spark, root):
     _landing(root)
-    got = readers.read_marketplace(spark, root).where("product_id = 4")
+    got = readers.read_marketplace(spark, root)[0].where("product_id = 4")
     assert rows(got, "partner") == [("newcomer",)]
 
 
@@ -102,8 +102,26 @@ def test_json_partition_absent_is_empty(spark, root):
 def test_csv_day(spark, root):
     _put(f"{root}/2026-06-26.csv", "id,n\n1,5\n2,x\n")
     typed = readers.read_csv_day(spark, root, "2026-06-26", "id int, n int")
-    assert rows(typed) == [(1, 5), (2, None)]
+    with pytest.raises(Exception, match="n is no int"):
+        typed.collect()
     assert readers.read_csv_day(spark, root, "2026-06-26").dtypes == [("id", "int"), ("n", "string")]
+    _put(f"{root}/2026-06-27.csv", "n,other,id\n5,a,1\n,b,2\n")
+    assert rows(readers.read_csv_day(spark, root, "2026-06-27", "id int, n int")) == [(1, 5), (2, None)]
+
+
+def test_csv_lines_that_do_not_fit_are_kept_aside(spark, root):
+    _put(f"{root}/a.csv", "id,n\n1,5\n3,7,9,9\n4\nabc,1\n5,\n")
+    good, bad = readers.read_csv_checked(spark, f"{root}/a.csv", "n int, id int")
+    assert rows(good, "n", "id") == [(5, 1), (None, 5)]
+    assert rows(bad, "line", "reject_reason") == [("3,7,9,9", "wrong number of fields"), ("4", "wrong number of fields"), ("abc,1", "id is no int")]
+    with pytest.raises(SchemaDriftError, match="amount"):
+        readers.read_csv_checked(spark, f"{root}/a.csv", "id int, amount int")
+
+
+def test_broken_shipment_documents_are_returned(spark):
+    docs = ['{"shipments": [], "not_found": ["4"]}', '{"shipments": [{"order_id": "1"', "no json", None, '{"count": 0}', '{"not_found": ["1"]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "id int, doc string")
+    assert rows(shipments.shipment_rejects(df, "doc"), "id") == [(1,), (2,), (3,), (4,)]
 
 
 def test_guards(spark):

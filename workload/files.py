@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from dayslice.errors import SchemaDriftError
 from dayslice.functions import columns as C
 from dayslice.operators import layout, reconcile
 from dayslice.operators.numbering import number_rows
@@ -34,6 +35,70 @@ def csv_roundtrip(spark, sf):
     )
 
 
+_CSV_SCHEMA = "order_id bigint, customer_id bigint, order_status string, amount decimal(18,2)"
+
+
+def _landed_csv(spark, sf, columns):
+    """All orders as one day's CSV with these columns in this order."""
+    root = new_dir(spark, "csv")
+    writers.export_csv(R.orders_v(spark, sf).select(*columns), f"{root}/2001-08-01.csv")
+    return root
+
+
+@query(
+    "csv_reordered",
+    with_tables("SELECT order_id, customer_id, order_status, CAST(amount AS DOUBLE) AS amount FROM orders_v", "orders_v"),
+)
+def csv_reordered(spark, sf):
+    """The header's order differs from the schema's and it has one column more."""
+    root = _landed_csv(spark, sf, ["amount", "partner", "order_status", "customer_id", "order_id"])
+    return readers.read_csv_day(spark, root, "2001-08-01", _CSV_SCHEMA)
+
+
+@query(
+    "csv_renamed_column",
+    with_tables("SELECT DISTINCT 'amount' AS missing, TRUE AS stopped FROM orders_v", "orders_v"),
+)
+def csv_renamed_column(spark, sf):
+    """A renamed column is named as missing, nothing loads."""
+    root = _landed_csv(spark, sf, ["order_id", "customer_id", "order_status", F.col("amount").alias("revenue")])
+    try:
+        readers.read_csv_day(spark, root, "2001-08-01", _CSV_SCHEMA)
+    except SchemaDriftError as e:
+        found = str(e).split("[")[1].split("]")[0].strip("'")
+        return spark.createDataFrame([(found, True)], "missing string, stopped boolean")
+    return spark.createDataFrame([("", False)], "missing string, stopped boolean")
+
+
+@query(
+    "csv_rejects",
+    with_tables(
+        """SELECT 'amount is no decimal(18,2)' AS reject_reason, COUNT(*) AS n FROM orders_v WHERE order_status = 'P'
+UNION ALL SELECT 'order_id is no bigint', COUNT(*) FROM orders_v WHERE order_status = 'O' AND order_id % 7 = 0
+UNION ALL SELECT 'kept', COUNT(*) FROM orders_v WHERE order_status <> 'P' AND NOT (order_status = 'O' AND order_id % 7 = 0)
+UNION ALL SELECT 'wrong number of fields', COUNT(*) FROM orders_v WHERE order_status = 'F'""",
+        "orders_v",
+    ),
+)
+def csv_rejects(spark, sf):
+    """Whole orders with broken values and, as further lines, ones with a field too many."""
+    root = new_dir(spark, "csv")
+    broken = F.when(F.col("order_status") == "P", F.lit("n/a")).otherwise(F.col("amount").cast("string"))
+    ident = F.when((F.col("order_status") == "O") & (F.col("order_id") % 7 == 0), F.lit("x")).otherwise(F.col("order_id").cast("string"))
+    orders = R.orders_v(spark, sf)
+    part, no = (F.col("order_id") % 8).alias("part"), F.lit(1).alias("no")
+    lines = orders.select(part, no, F.concat_ws(",", ident, "customer_id", "order_status", broken).alias("line"))
+    fields = ("order_id", "customer_id", "order_status", "amount")
+    longer = orders.where("order_status = 'F'").select(part, no, F.concat_ws(",", *fields, F.lit("9")).alias("line"))
+    # Each of eight files gets the header as its first line.
+    header = spark.range(8).select(F.col("id").alias("part"), F.lit(0).alias("no"), F.lit(",".join(fields)).alias("line"))
+    body = lines.unionByName(longer).unionByName(header).repartition("part").sortWithinPartitions("part", "no")
+    body.drop("no").write.partitionBy("part").text(f"{root}/2001-08-01.csv")
+    rows, rejects = readers.read_csv_checked(spark, f"{root}/2001-08-01.csv", _CSV_SCHEMA)
+    every = rows.select(F.lit("kept").alias("reject_reason")).unionByName(rejects.select("reject_reason"))
+    return every.groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
 @query(
     "json_partition_roundtrip",
     """SELECT event_type, COUNT(*) AS n, CAST(SUM(user_id) AS BIGINT) AS users FROM events GROUP BY 1""",
@@ -191,8 +256,9 @@ def marketplace_files(spark, sf):
     root = new_dir(spark, "incoming")
     _write_exports(spark, sf, root)
     manifest = intake.verify_checksums(spark, f"{root}/*/*.csv")
-    rows = intake.accepted_rows(readers.read_marketplace(spark, root), manifest)
-    return rows.groupBy("partner").agg(
+    rows, rejects = readers.read_marketplace(spark, root)
+    assert rejects.isEmpty()
+    return intake.accepted_rows(rows, manifest).groupBy("partner").agg(
         F.count("*").alias("sales"), F.sum("net_revenue").alias("net_revenue")
     )
 
@@ -322,6 +388,25 @@ def shipments_not_found(spark, sf):
     return shipments.parse_shipments(_shipment_docs(spark, sf), "doc")[1]
 
 
+@query(
+    "shipment_rejects",
+    with_tables(
+        """WITH asked AS (SELECT CAST(ceil((SELECT COUNT(*) FROM orders_v) / 50.0) AS BIGINT) AS n)
+SELECT 'answer' AS kind, n FROM asked UNION ALL SELECT 'cut off', n FROM asked UNION ALL SELECT 'reject', 2 * n FROM asked""",
+        "orders_v",
+    ),
+)
+def shipment_rejects(spark, sf):
+    """Every answer whole, once more cut off in the middle, and once as text that is no answer."""
+    whole = _shipment_docs(spark, sf)
+    cut = whole.select(F.expr("substring(doc, 1, length(doc) - 7)").alias("doc"))
+    none = whole.select(F.lit('{"error": "busy"}').alias("doc"))
+    marked = whole.withColumn("kind", F.lit("answer")).unionByName(cut.withColumn("kind", F.lit("cut off")))
+    rejects = shipments.shipment_rejects(marked.unionByName(none.withColumn("kind", F.lit("none"))), "doc")
+    counted = marked.groupBy("kind").agg(F.count("*").alias("n"))
+    return counted.unionByName(rejects.agg(F.count("*").alias("n")).withColumn("kind", F.lit("reject")))
+
+
 @query(
     "replay_late_files",
     with_tables(
