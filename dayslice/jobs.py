@@ -10,7 +10,9 @@ import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dayslice.functions.columns import day
 from dayslice.operators import layout
 from dayslice.plans import pipelines
 from dayslice.session import build_session
@@ -25,6 +27,16 @@ RUNS = {
 }
 
 
+#: Columns that say which day a row of a landed table belongs to.
+SLICE_COLUMNS = {
+    "orders": ("order_date",),
+    "ads": ("event_date", "event_ts"),
+    "marketplace": ("order_date", "order_ts"),
+    "customers": ("ingested_at",),
+    "campaigns": ("date", "event_ts"),
+}
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="dayslice")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -59,7 +71,10 @@ def _raw(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         return readers.read_csv_day(spark, args.raw, args.ds)
     if args.format == "json":
         return spark.read.json(f"{args.raw}/{args.ds}.json")
-    return spark.read.parquet(args.raw)
+    table = spark.read.parquet(args.raw)
+    # A table of many days: the filter reaches the scan.
+    dates = [c for c in SLICE_COLUMNS[args.job] if c in table.columns]
+    return table.where(F.col(dates[0]).cast("date") == day(args.ds)) if dates else table
 
 
 def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:

@@ -119,17 +119,21 @@ def upsert_scd1(
     first_seen: str = "first_seen_date",
     last_updated: str = "last_updated_date",
 ) -> DataFrame:
-    """Type 1 dimension: new attributes win, the first date stays, the last date moves."""
+    """Type 1 dimension, in any order of run dates.
+
+    Attributes are those of the newest date seen; the first date only moves back, the last one only forward.
+    """
     batch = unique_source(src.select(*key, *set_cols).distinct(), key)
     old = tgt.select(*key, *set_cols, first_seen, last_updated).alias("t")
     new = batch.withColumn("_in_batch", F.lit(True)).alias("s")
-    seen = F.col("s._in_batch").isNotNull()
+    run = F.when(F.col("s._in_batch").isNotNull(), day(ds))
+    newer = run.isNotNull() & (F.col(f"t.{last_updated}").isNull() | (run >= F.col(f"t.{last_updated}")))
     joined = old.join(new, list(key), "full_outer")
     return joined.select(
         *key,
-        *[F.when(seen, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in set_cols],
-        F.coalesce(F.col(f"t.{first_seen}"), day(ds)).alias(first_seen),
-        F.when(seen, day(ds)).otherwise(F.col(f"t.{last_updated}")).alias(last_updated),
+        *[F.when(newer, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in set_cols],
+        F.least(F.col(f"t.{first_seen}"), run).alias(first_seen),
+        F.greatest(F.col(f"t.{last_updated}"), run).alias(last_updated),
     )
 
 
@@ -178,13 +182,6 @@ def activity_from_history(
     )
 
 
-def latest_change(
-    changes: DataFrame, key: Sequence[str], order: Sequence[str]
-) -> DataFrame:
-    """Collapse a change batch to the last change of each key."""
-    return keep_latest(changes, key, order)
-
-
 def apply_cdc(
     tgt: DataFrame,
     changes: DataFrame,
@@ -193,14 +190,37 @@ def apply_cdc(
     op: str = "op",
     delete: str = "D",
 ) -> DataFrame:
-    """Apply inserts, updates and deletes; deleting an absent key does nothing."""
-    last = latest_change(changes, key, order)
+    """Apply inserts, updates and deletes; deleting an absent key does nothing.
+
+    Batches have to come in order: a later call wins whatever its times. `merge_changes` needs no order.
+    """
+    last = keep_latest(changes, key, order)
     # Distinct keys: a key changed very often is reduced before the shuffle.
     kept = tgt.join(changes.select(*key).distinct(), list(key), "left_anti")
     live = last.where(~F.col(op).eqNullSafe(F.lit(delete)))
     return kept.select(tgt.columns).unionByName(live.select(tgt.columns))
 
 
+def merge_changes(
+    table: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """The last change of each key over a table of such changes and a new batch, in any order of batches.
+
+    The table keeps deletes as rows, so a late change of a deleted key finds out that it is old; `live` hides them.
+    Applying a batch twice, or batches in another order, gives the same table. Keys without a change pass by an
+    anti join.
+    """
+    keys = changes.select(*key).distinct()
+    known = table.join(keys, list(key), "left_semi").select(changes.columns)
+    kept = table.join(keys, list(key), "left_anti").select(changes.columns)
+    return kept.unionByName(keep_latest(known.unionByName(changes), key, order))
+
+
+def live(table: DataFrame, op: str = "op", delete: str = "D") -> DataFrame:
+    """Rows of a table of last changes that are not deletes, without the kind of change."""
+    return table.where(~F.col(op).eqNullSafe(F.lit(delete))).drop(op)
+
+
 def snapshot(df: DataFrame, ds: str | dt.date, col: str = "snapshot_date") -> DataFrame:
     """A full copy of a table stamped with the run date."""
     return df.withColumn(col, day(ds))
@@ -213,11 +233,6 @@ def read_as_of(snapshots: DataFrame, col: str, ds: str | dt.date) -> DataFrame:
     return past.join(F.broadcast(newest), col, "left_semi")
 
 
-def evolve(tgt: DataFrame, src: DataFrame) -> DataFrame:
-    """Append rows whose table may have gained columns; old rows get NULL there."""
-    return union_evolving(tgt, src)
-
-
 def backfill_days(
     build: Callable[[str], DataFrame], dates: Iterable[str]
 ) -> DataFrame:

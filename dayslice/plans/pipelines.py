@@ -17,7 +17,7 @@ from ..operators.dedup import keep_first
 from ..operators.load import upsert_activity, upsert_scd1
 from ..operators.shape import in_domain, validate_orders
 from ..sources import writers
-from ..sources.readers import assert_nonempty, read_parquet_slice, read_partitioned
+from ..sources.readers import assert_nonempty, read_json_partition, read_parquet_slice, read_partitioned
 from .ads import KNOWN_COLUMNS, ad_daily, ad_daily_rules, campaign_metrics, fact_ad_events
 from .ads import low_ctr, over_budget
 from .orders import daily_revenue
@@ -128,10 +128,7 @@ def run_ads_day(
         reconcile.recon_tieout(fact, daily, "impression", "impressions"),
         reconcile.check_rules(daily, ad_daily_rules()),
         reconcile.recon_dod(known, "event_date", ds, max_drift),
-        *[
-            # Keys are compared with history to this date, so only on the newest date.
-            c for c in reconcile.check_activity_dim(dim, history, "ad_id", ds) if c.name != "complete"
-        ],
+        *reconcile.check_activity_dim(dim, history, "ad_id", ds),
     )
     reconcile.require(checks)
     return checks
@@ -231,14 +228,19 @@ def run_campaigns_day(
 ) -> DataFrame:
     """Campaign metrics of one date, published once they add up, and the two alert reports."""
     writers.write_json_partition(events, root, "raw", "ad_events", ds)
-    metrics = campaign_metrics(events)
-    checks = reconcile.evaluate(reconcile.recon_rollup(events, metrics, "impressions"))
+    raw = read_json_partition(spark, root, "raw", "ad_events", ds, events.schema)
+    metrics = campaign_metrics(raw)
+    place = ("staged", "campaign_metrics", ds)
+    writers.write_json_partition(metrics, root, *place)
+    staged = read_json_partition(spark, root, *place, metrics.schema)
+    # What was written is counted against what landed; only then it is published.
+    checks = reconcile.evaluate(reconcile.recon_rollup(raw, staged, "impressions"))
     reconcile.require(checks)
-    writers.write_json_partition(metrics, root, "published", "campaign_metrics", ds)
+    writers.write_json_partition(staged, root, "published", "campaign_metrics", ds)
     writers.write_json_partition(
-        over_budget(metrics, budget, ds), root, "reports", "campaign_spend", ds
+        over_budget(staged, budget, ds), root, "reports", "campaign_spend", ds
     )
     writers.write_json_partition(
-        low_ctr(metrics, min_ctr, ds), root, "reports", "campaign_low_ctr", ds
+        low_ctr(staged, min_ctr, ds), root, "reports", "campaign_low_ctr", ds
     )
     return checks

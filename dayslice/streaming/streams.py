@@ -102,8 +102,8 @@ def foreach_batch_upsert(
 
     `merge(target, batch)` must be repeatable, as upserts and change sets are: a batch that
     is delivered again after a failure then changes nothing. `first(batch)` is the table
-    made from the first batch. Only the buckets a batch touches are rewritten. Changes of a
-    key have to arrive in order from batch to batch; inside a batch any order will do.
+    made from the first batch. Only the buckets a batch touches are rewritten. With `merge_changes` the
+    batches may come in any order; with `apply_cdc` changes of a key have to come in order from batch to batch.
     """
 
     def apply(batch: DataFrame, _batch_id: int) -> None:

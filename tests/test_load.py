@@ -123,6 +123,26 @@ def test_change_data_golden_numbers(spark):
     assert rows(load.apply_cdc(once, batch, ["event_id"], ["updated_at"])) == rows(once)
 
 
+def test_any_order_of_dates_and_batches_gives_one_table(spark):
+    dim = spark.createDataFrame([], "id int, name string, first_seen_date date, last_updated_date date")
+    days = {"2026-01-02": [(1, "b")], "2026-01-01": [(1, "a"), (2, "x")], "2026-01-03": [(2, "y"), (3, "z")]}
+    log = [(1, "I", 1.0, 1), (1, "D", None, 4), (2, "I", 2.0, 2), (1, "U", 5.0, 3), (2, "U", 7.0, 6), (3, "D", None, 5), (3, "I", 9.0, 1)]
+    schema, batches = "id int, op string, v double, t int", (log[:2], log[2:5], log[5:])
+    tables, changes = set(), set()
+    for order in itertools.permutations(range(3)):
+        table, state = dim, spark.createDataFrame([], schema)
+        for i in (*order, order[0]):
+            ds = list(days)[i]
+            table = load.upsert_scd1(table, spark.createDataFrame(days[ds], "id int, name string"), ["id"], ["name"], ds)
+            state = load.merge_changes(state, spark.createDataFrame(batches[i], schema), ["id"], ["t"])
+        tables.add(tuple(rows(table)))
+        changes.add(tuple(rows(load.live(state))))
+    assert tables == {(
+        (1, "b", d("2026-01-01"), d("2026-01-02")), (2, "y", d("2026-01-01"), d("2026-01-03")), (3, "z", d("2026-01-03"), d("2026-01-03")),
+    )}
+    assert changes == {((2, 7.0, 6),)}
+
+
 def test_delete_of_an_absent_key_is_nothing(spark):
     tgt = spark.createDataFrame([(1, 1.0)], "id int, v double")
     change = spark.createDataFrame([(9, None, "D", 1)], "id int, v double, op string, t int")

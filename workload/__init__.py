@@ -1,6 +1,6 @@
 """Registered queries: each operator run over whole tables, with the SQL that must agree."""
 
-from . import deduping, files, loads, marts, reports, shaping, streaming, trust, versions  # noqa: F401
+from . import daily, deduping, files, loads, marts, reports, shaping, streaming, trust, versions  # noqa: F401
 from .registry import QUERIES, Query
 
 

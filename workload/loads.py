@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dayslice.functions import columns as C
 from dayslice.operators import load, shape
-from dayslice.operators.dedup import keep_first
+from dayslice.operators.dedup import keep_first, keep_latest
 from dayslice.plans import ads, orders as order_plans
 from dayslice.session import new_dir
 from dayslice.sources import writers
@@ -184,7 +184,7 @@ last AS (SELECT * FROM changes_v WHERE updated_at >= TIMESTAMP '2024-01-16'
 
 def cdc_tables(spark, sf):
     changes, cut = R.changes_v(spark, sf), C.day(R.CDC_CUT)
-    old = load.latest_change(changes.where(F.col("updated_at") < cut), ["user_id"], ["updated_at"])
+    old = keep_latest(changes.where(F.col("updated_at") < cut), ["user_id"], ["updated_at"])
     tgt = old.where(F.col("op") != "D").select("user_id", "event_id", "amount", "updated_at")
     return tgt, changes.where(F.col("updated_at") >= cut)
 
@@ -199,7 +199,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1"""
     ),
 )
 def latest_change(spark, sf):
-    last = load.latest_change(R.changes_v(spark, sf), ["user_id"], ["updated_at"])
+    last = keep_latest(R.changes_v(spark, sf), ["user_id"], ["updated_at"])
     return last.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
@@ -219,6 +219,48 @@ def apply_cdc(spark, sf):
     return new.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "cdc_out_of_order",
+    with_tables(
+        """SELECT user_id, event_id, CAST(amount AS DOUBLE) AS amount, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at
+FROM (SELECT * FROM changes_v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1) WHERE op <> 'D'""",
+        "changes_v",
+    ),
+)
+def cdc_out_of_order(spark, sf):
+    """The change log in three batches, the newest first and one of them twice."""
+    changes = R.changes_v(spark, sf)
+    time = F.col("updated_at")
+    late, early = time >= C.day("2024-01-20"), time < C.day("2024-01-10")
+    table = spark.createDataFrame([], changes.schema)
+    for part in (late, early, ~(late | early), early):
+        table = load.merge_changes(table, changes.where(part), ["user_id"], ["updated_at"])
+    return load.live(table).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).select(
+        "user_id", "event_id", "amount", "updated_at"
+    )
+
+
+@query(
+    "scd1_backfill",
+    with_tables(
+        """SELECT customer_id, max_by(partner, (order_date, order_id)) AS partner, CAST(MIN(day) AS VARCHAR) AS first_seen_date,
+  CAST(MAX(day) AS VARCHAR) AS last_updated_date
+FROM (SELECT *, CAST(date_trunc('year', order_date) AS DATE) AS day FROM orders_v WHERE order_date >= DATE '1999-01-01')
+GROUP BY 1""",
+        "orders_v",
+    ),
+)
+def scd1_backfill(spark, sf):
+    """Three years, each its last partner, loaded in the wrong order and one of them twice."""
+    orders = R.orders_v(spark, sf).withColumn("year", F.trunc("order_date", "YYYY").cast("string"))
+    last = orders.groupBy("customer_id", "year").agg(F.max_by("partner", F.struct("order_date", "order_id")).alias("partner"))
+    dim = spark.createDataFrame([], "customer_id bigint, partner string, first_seen_date date, last_updated_date date")
+    for ds in ("2001-01-01", "1999-01-01", "2000-01-01", "1999-01-01"):
+        batch = last.where(F.col("year") == ds).select("customer_id", "partner")
+        dim = load.upsert_scd1(dim, batch, ["customer_id"], ["partner"], ds)
+    return dim
+
+
 @query(
     "snapshot_as_of",
     with_tables(

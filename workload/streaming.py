@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dayslice.functions import columns as C
 from dayslice.operators import load
 from dayslice.session import new_dir
+from dayslice.sources.writers import read_buckets
 from dayslice.streaming import streams
 
 from . import recipes as R
@@ -85,8 +86,8 @@ def stream_sessions(spark, sf):
 @query(
     "stream_cdc",
     with_tables(
-        """SELECT COUNT(*) AS n_rows, CAST(SUM(amount) AS DOUBLE) AS amount, CAST(SUM(event_id) AS BIGINT) AS ids FROM (
-  SELECT * FROM changes_v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1) WHERE op <> 'D'""",
+        """SELECT user_id, event_id, CAST(amount AS DOUBLE) AS amount, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at
+FROM (SELECT * FROM changes_v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC) = 1) WHERE op <> 'D'""",
         "changes_v",
     ),
 )
@@ -99,14 +100,13 @@ def stream_cdc(spark, sf):
     changes = log.select(
         "user_id", "event_id", C.money("value").alias("amount"), op.alias("op"), F.col("ts").alias("updated_at")
     ).select(batch.columns)
-    empty = spark.createDataFrame([], changes.drop("op").schema)
+    empty = spark.createDataFrame([], changes.schema)
 
     def merge(old, new):
-        return load.apply_cdc(old, new, ["user_id"], ["updated_at"])
+        return load.merge_changes(old, new, ["user_id"], ["updated_at"])
 
     streams.foreach_batch_upsert(
         changes, path, state, "user_id", merge, lambda first: merge(empty, first), 16
     ).awaitTermination()
-    return spark.read.parquet(path).agg(
-        F.count("*").alias("n_rows"), F.sum("amount").alias("amount"), F.sum("event_id").alias("ids")
-    )
+    table = load.live(read_buckets(spark, path))
+    return table.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -246,7 +246,7 @@ def ad_rule_violations(spark, sf):
             [
                 ("unique_key", "TRUE", "n", "n"),
                 ("date_order", "TRUE", "0", "0"),
-                ("complete", "TRUE", "n", "n"),
+                ("complete", "TRUE", "0", "0"),
                 ("share_range", "bad = 0", "0", "bad"),
             ]
         ),
