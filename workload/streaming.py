@@ -83,6 +83,58 @@ def stream_sessions(spark, sf):
     return _metrics(spark, sf, streams.session_of("ts", "10 minutes"), "sessions")
 
 
+#: Rows of the first six days that land more than two weeks late.
+_TOO_LATE = "ts < TIMESTAMP '2024-01-07' AND event_id % 101 = 0"
+
+
+def _landed(spark, sf):
+    """Events in five files by age; one row in seven lands a file late, a few of the first days only in the last one.
+
+    A sixth file holds one event of the far future, which moves the watermark past all windows.
+    """
+    root = new_dir(spark, "landed")
+    events = R.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", C.money("value").alias("value"))
+    age = F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 6)
+    late = F.when(F.expr(_TOO_LATE), F.lit(4)).otherwise(age + (F.col("event_id") % 7 == 0).cast("int"))
+    for i in range(5):
+        events.where(F.least(late, F.lit(4)) == i).write.parquet(f"{root}/{i}")
+    last = events.limit(1).withColumns({"ts": F.lit("2100-01-01 00:00:00").cast(events.schema["ts"].dataType), "event_type": F.lit("end")})
+    last.write.parquet(f"{root}/5")
+    return streams.stream_landing(spark, f"{root}/*", events.schema, files_per_batch=1)
+
+
+def _appended(spark, sf, frame, keys, label):
+    """Windows written once the watermark has passed them; their state is then freed."""
+    aggs = [F.count("*").alias("n"), F.sum("value").alias("total")]
+    out = streams.stream_metrics(_landed(spark, sf), "ts", frame, keys, aggs, delay="8 days")
+    rows = streams.drain(out, label).where("window_end < TIMESTAMP '2100-01-01'")
+    return rows.withColumns({"window_start": _text("window_start"), "window_end": _text("window_end")})
+
+
+@query(
+    "stream_tumbling_append",
+    f"""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, {_SUMS}
+FROM events WHERE NOT ({_TOO_LATE}) GROUP BY ALL""",
+)
+def stream_tumbling_append(spark, sf):
+    """Six landed files; late rows inside the delay count, those beyond it do not."""
+    return _appended(spark, sf, streams.tumbling("ts", "6 hours"), ["event_type"], "tumbling-append")
+
+
+@query(
+    "stream_sessions_by_user",
+    f"""SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(MAX(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, user_id, COUNT(*) AS n,
+  CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM (SELECT *, SUM(is_new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS is_new
+  FROM events WHERE NOT ({_TOO_LATE}))) GROUP BY user_id, session""",
+)
+def stream_sessions_by_user(spark, sf):
+    return _appended(spark, sf, streams.session_of("ts", "30 minutes"), ["user_id"], "sessions-append")
+
+
 @query(
     "stream_cdc",
     with_tables(
