@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import day, same, shift
+from ..session import materialize
 from .load import unique_source
 from .numbering import number_rows
 
@@ -82,8 +83,11 @@ def apply_scd2_closed(
     forever = F.lit(OPEN_END).cast("date")
     before = _undo(dim, ds, "effective_date", "expiration_date", day(shift(ds, -1)), forever)
     met = _meet(before, snap, key, attrs, close_missing)
-    # A key without a current row may still have closed versions to count on from.
-    last = before.groupBy(*key).agg(F.max("version").alias("_last"))
+    # A current row has the highest version of its key. Only a key of the snapshot without a current row may
+    # have closed versions to count on from: history is searched for those keys, and else passes by.
+    without = snap.select(*key).distinct().join(before.where("is_current").select(*key), list(key), "left_anti")
+    closed = before.where("NOT is_current").join(without, list(key), "left_semi")
+    last = closed.groupBy(*key).agg(F.max("version").alias("_last"))
     both = met.join(last, list(key), "left")
     closes = F.col("_closes")
     cols = dim.columns
@@ -97,7 +101,7 @@ def apply_scd2_closed(
         "effective_date": day(ds),
         "expiration_date": forever,
         "is_current": F.lit(True),
-        "version": (F.coalesce(F.col("_last"), F.lit(0)) + 1).cast(dim.schema["version"].dataType),
+        "version": (F.coalesce(F.col("version"), F.col("_last"), F.lit(0)) + 1).cast(dim.schema["version"].dataType),
     }
     versions = F.array_compact(
         F.array(
@@ -118,19 +122,33 @@ def apply_scd2_open(
     surrogate: str = "customer_key",
     close_missing: bool = False,
 ) -> DataFrame:
-    """Apply one full snapshot in the open convention; new versions get the next surrogates."""
+    """Apply one full snapshot in the open convention; new versions get the next surrogates.
+
+    The join of current rows and snapshot runs once: its old and new versions are written to the shared folder,
+    and only the new ones are numbered from there.
+    """
     before = _undo(
         dim, ds, "effective_from", "effective_to", day(ds), F.lit(None).cast("date")
     )
     met = _meet(before, snap, key, attrs, close_missing)
     closes = F.col("_closes")
-    current = met.where(F.col("_held").isNotNull()).withColumns(
-        {
-            "effective_to": F.when(closes, day(ds)).otherwise(F.col("effective_to")),
-            "is_current": ~closes,
-        }
+    kept = [*key, *attrs]
+    others = [c for c in dim.columns if c not in kept]
+    old = {c: F.col(c) for c in dim.columns} | {
+        "effective_to": F.when(closes, day(ds)).otherwise(F.col("effective_to")),
+        "is_current": ~closes,
+    }
+    new = {**{k: F.col(k) for k in key}, **{a: F.col(f"_new_{a}") for a in attrs}}
+    new |= {c: F.lit(None).cast(dim.schema[c].dataType) for c in others}
+    versions = F.array_compact(
+        F.array(
+            F.when(F.col("_held").isNotNull(), F.struct(*[old[c].alias(c) for c in dim.columns], F.lit(False).alias("_fresh"))),
+            F.when(F.col("_opens"), F.struct(*[new[c].alias(c) for c in dim.columns], F.lit(True).alias("_fresh"))),
+        )
     )
-    opened = met.where("_opens").select(*key, *[F.col(f"_new_{a}").alias(a) for a in attrs])
+    touched = materialize(met.select(F.explode(versions).alias("v")).select("v.*"), "versions")
+    current = touched.where("NOT _fresh")
+    opened = touched.where("_fresh").select(*kept)
     highest = before.agg(F.max(surrogate).alias("_max"))
     fresh = number_rows(opened, key, surrogate, after=highest).withColumns(
         {

@@ -139,3 +139,16 @@ def test_tier_at_time_of_purchase(spark):
         (1, d("2023-12-31"), None), (1, d("2024-01-09"), "A"), (1, d("2024-01-10"), "B"), (2, d("2024-01-05"), None)
     ]
     assert rows(joins.join_current(fact, dim, ["id"]), "tier").count(("B",)) == 3
+
+
+def test_closed_apply_joins_once_and_leaves_history_alone(spark, root):
+    dim = spark.range(40).select(
+        (F.col("id") % 20).cast("int").alias("id"), F.lit("a").alias("tier"), F.lit("2026-01-01").cast("date").alias("effective_date"),
+        F.when(F.col("id") < 20, F.lit("2026-01-05").cast("date")).otherwise(F.lit("9999-12-31").cast("date")).alias("expiration_date"),
+        (F.col("id") >= 20).alias("is_current"), F.lit(1).alias("version"),
+    )
+    dim.write.parquet(f"{root}/dim")
+    snap = spark.createDataFrame([(1, "b"), (2, "a")], "id int, tier string")
+    out = scd2.apply_scd2_closed(spark.read.parquet(f"{root}/dim"), snap, ["id"], ["tier"], "2026-02-01")
+    plan = plan_text(out, "simple")
+    assert plan.count("FullOuter") == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dayslice.errors import PipelineError
 from dayslice.functions import columns as C
-from dayslice.operators import contracts, load, quality
+from dayslice.operators import contracts, joins, load, quality
 from dayslice.plans import pipelines
 from dayslice.session import new_dir
 from dayslice.sources import writers
@@ -169,3 +169,23 @@ def customers_daily_run(spark, sf):
         pipelines.run_customers_day(spark, raw, root, DS, f"{DS}T00:00:00Z", buckets=16)
     return writers.read_buckets(spark, f"{root}/gold/customer_analytics").select("customer_id", "segment")
 
+
+
+@query("appended_partitions", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1")
+def appended_partitions(spark, sf):
+    """Two halves of a table appended to one partitioned folder."""
+    path, orders = new_dir(spark, "appended"), R.table(spark, sf, "orders")
+    for half in (0, 1):
+        writers.append_partitioned(orders.where(F.col("o_orderkey") % 2 == half), path, "o_orderpriority")
+    return read_partitioned(spark, path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query(
+    "small_dimension_join",
+    """SELECT n_name, COUNT(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""",
+)
+def small_dimension_join(spark, sf):
+    """A dimension whose size estimate is checked before it is broadcast."""
+    nations = joins.broadcast_dim(R.table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    per_nation = R.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    return per_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "customers")
