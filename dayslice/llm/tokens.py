@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 #: Units kept in each half of a worker's cache, about 200 bytes each.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 #: Longer units are encoded each time.
 LONGEST_CACHED = 64
 #: Units that go to the library as one text.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_bucket, ship, slices, whole_text
 
 LABELLED_ROWS = 20_000
-TRAINING_TEXTS = 6_000
+TRAINING_TEXTS = 4_000
 THRESHOLD = 0.3
 #: Telling words and beginnings: at most so many, each in several toxic rows and far more often there than elsewhere.
 LEXICON = 400
@@ -37,8 +37,10 @@ DENSE_SHARE, SHOUT_SHARE = 0.01, 0.3
 STEMS = (3, 4, 5)
 EDGE = ".,;:!?\"'()[]{}*#%$&-_"
 UPPER = bytes(range(65, 91))
+#: Bytes of text that a task turns into Python strings at once.
+SLICE_BYTES = 2 << 20
 #: Words a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def features(word: str) -> list[str]:
@@ -65,7 +67,7 @@ class Remembered(dict):
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic) of every distinct feature of each labelled text."""
-    for rows in slices(batches, "text"):
+    for rows in slices(batches, "text", SLICE_BYTES):
         found, toxic = [], []
         for text, label in zip(rows["text"], rows["toxic"], strict=True):
             own = {f for w in set(text.lower().split()) for f in features(w)}
@@ -129,7 +131,7 @@ def voter(entries: list[tuple[str, int]]):
 def _vote(entries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = voter(entries.value)
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_pydict({"votes": pa.array([vote(t) for t in rows["text"]], pa.int64())})
 
     return run
@@ -211,7 +213,7 @@ def _hashes(word: str) -> tuple[int, ...]:
 def _sampled(entries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote, known = voter(entries.value), Remembered(_hashes)
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE_BYTES):
             found = [{h for w in set(t.lower().split()) for h in known[w]} for t in rows["text"]]
             data = [np.sort(np.fromiter(f, dtype=np.uint64, count=len(f))).tobytes() for f in found]
             yield pa.RecordBatch.from_pydict({"votes": pa.array([vote(t) for t in rows["text"]], pa.int64()), "features": pa.array(data, pa.binary())})
@@ -226,14 +228,19 @@ def train(samples: list[np.ndarray], target: np.ndarray, rounds: int = 300, leas
     if not samples or target.sum() < least:
         return {}, bias
     every = np.concatenate(samples)
-    row = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
-    distinct, column = np.unique(every, return_inverse=True)
-    mass = np.bincount(column, weights=target[row])
-    frequency = np.bincount(column)
-    leaning = (mass >= least) & (mass / frequency >= np.minimum(lift * share, 0.9))
-    place = np.cumsum(leaning) - 1
-    used = leaning[column]
-    row, column, distinct = row[used], place[column[used]], distinct[leaning]
+    row = np.repeat(np.arange(len(samples), dtype=np.int32), [len(s) for s in samples])
+    order = np.argsort(every)
+    in_order = every[order]
+    start = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
+    mass = np.add.reduceat(target[row[order]], start)
+    frequency = np.diff(start, append=len(every))
+    distinct = in_order[start][(mass >= least) & (mass / frequency >= np.minimum(lift * share, 0.9))]
+    del order, in_order, start, mass, frequency
+    if not len(distinct):
+        return {}, bias
+    column = np.minimum(np.searchsorted(distinct, every), len(distinct) - 1)
+    used = distinct[column] == every
+    row, column = row[used], column[used]
     weight, squares, square = np.zeros(len(distinct)), np.full(len(distinct), 1e-8), 1e-8
     for _ in range(rounds):
         margin = np.bincount(row, weights=weight[column], minlength=len(samples)) + bias
@@ -246,15 +253,15 @@ def train(samples: list[np.ndarray], target: np.ndarray, rounds: int = 300, leas
     return dict(zip(distinct.tolist(), weight.tolist(), strict=True)), bias
 
 
-def _scored(model, kept: list[str]):
+def _scored(model, kept: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
         telling = Remembered(lambda word: tuple(h for h in _hashes(word) if h in weights))
         for batch in batches:
-            for rows in slices([batch], "_text"):
+            for rows in slices([batch], text, SLICE_BYTES):
                 margins = []
-                for text in rows["_text"]:
-                    found = {h for hs in map(telling.__getitem__, set(text.lower().split())) if hs for h in hs}
+                for one in rows[text]:
+                    found = {h for hs in map(telling.__getitem__, set((one or "").lower().split())) if hs for h in hs}
                     margins.append(bias + sum(weights[h] for h in sorted(found)))
                 score = 1 / (1 + np.exp(-np.clip(np.array(margins), -50, 50)))
                 columns = [pa.array(rows[n], batch.schema.field(n).type) for n in kept]
@@ -317,17 +324,20 @@ def score(
     arrays = [np.frombuffer(b, dtype=np.uint64) for b in sample.column("features").to_pylist()]
     learned = spark.sparkContext.broadcast(train(arrays, target))
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted") and (keep_text or c != text)]
-    marked = docs.select(*names, held.alias("held_out"), whole_text(text).alias("_text"))
+    # A text that is kept travels once.
+    own_text = text if keep_text else "_text"
+    extra = [] if keep_text else [whole_text(text).alias("_text")]
+    marked = docs.select(*names, held.alias("held_out"), *extra)
     kept = [*names, "held_out"]
     schema = marked.select(*kept, F.lit(0.0).alias("score")).schema
-    scored = marked.mapInArrow(_scored(learned, kept), schema)
+    scored = marked.mapInArrow(_scored(learned, kept, own_text), schema)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def _labelled_votes(entries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = voter(entries.value)
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_pydict(
                 {"votes": pa.array([vote(t) for t in rows["text"]], pa.int64()), "toxic": pa.array(rows["toxic"], pa.int32())}
             )
