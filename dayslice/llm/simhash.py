@@ -6,7 +6,9 @@ Equal fingerprints are one node. Two fingerprints with at most `budget` differin
 ranges; in each group a binary trie is joined with itself: pairs of nodes go down together, differing bits
 add up, and a pair over the budget is dropped with all below it. A group keeps one link for each fingerprint
 that it joins to others, not all pairs. A fingerprint has at most sum(C(64, i), i <= budget)
-neighbours, so the work of a group grows with its distinct fingerprints and not with their square.
+neighbours, 2,080 for two bits, so the work of a group then grows with its distinct fingerprints and not with their
+square. A larger budget needs more ranges, C(parts, budget) copies of each distinct fingerprint, and loses that bound
+within one very large group of slightly different texts.
 """
 
 from __future__ import annotations
@@ -168,9 +170,12 @@ def _link_runs(budget: int, free_bits: int):
                 own = more & (start >= low) & (start < high)
                 pairs = trie_links(rows[1, low:high], budget, start[own] - low, ends[own] - low, free_bits - 1)
                 label[low:high] = low + roots(int(high - low), *pairs)
-            linked = np.flatnonzero(label != np.arange(len(label)))
             signed = rows[2].view(np.int64)
-            return pa.RecordBatch.from_pydict({"a": signed[linked], "b": signed[label[linked]]})
+            # The least fingerprint stands for its component, whatever table found it, so links repeat and merge.
+            least = np.full(len(label), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, signed)
+            linked = np.flatnonzero(signed != least[label])
+            return pa.RecordBatch.from_pydict({"a": signed[linked], "b": least[label[linked]]})
 
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
@@ -197,18 +202,21 @@ def links(distinct: DataFrame, budget: int = BUDGET, parts: int = PARTS) -> Data
     every, choices = ranges(parts), list(combinations(range(parts), parts - budget))
     free = max(BITS - sum(every[i][1] for i in chosen) for chosen in choices)
 
-    def moved(chosen: tuple[int, ...]) -> Column:
-        # The chosen ranges go to the top, the others below them.
-        at, out = BITS, F.lit(0).cast("bigint")
-        for i in [*chosen, *(i for i in range(parts) if i not in chosen)]:
-            low, size = every[i]
-            at -= size
-            piece = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
-            out = out.bitwiseOR(F.shiftleft(piece, at))
-        return out.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
-
-    tables = F.array(*[F.struct(F.lit(i).alias("table"), moved(c).alias("moved")) for i, c in enumerate(choices)])
-    dealt = distinct.select("fp", F.explode(tables).alias("t")).select("t.table", "t.moved", "fp")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            for table, chosen in enumerate(choices):
+                # The chosen ranges go to the top, the others below them; the sign bit is turned for Spark's order.
+                at, moved = BITS, np.full(len(values), 1 << 63, dtype=np.uint64)
+                for i in [*chosen, *(i for i in range(parts) if i not in chosen)]:
+                    low, size = every[i]
+                    at -= size
+                    piece = (values.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << size) - 1)
+                    moved ^= piece << np.uint64(at)
+                number = np.full(len(values), table, dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({"table": number, "moved": moved.view(np.int64), "fp": values})
+
+    dealt = distinct.select("fp").mapInArrow(deal, "table int, moved bigint, fp bigint")
     near = dealt.repartition("table", F.shiftrightunsigned("moved", free)).sortWithinPartitions("table", "moved")
     return near.mapInArrow(_link_runs(budget, free), "a bigint, b bigint").distinct()
 
@@ -243,6 +251,7 @@ def group(
     doc_id: str = "doc_id",
     words: int = WORDS,
     budget: int = BUDGET,
+    parts: int = PARTS,
 ) -> DataFrame:
     """One row for each input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -255,7 +264,7 @@ def group(
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
     marked = materialize(plain.select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes.select("fp"), budget))
+    found = components(links(nodes.select("fp"), budget, parts))
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -144,8 +144,7 @@ class LabelModel:
         """`votes` are distinct combinations as bits, `counts` how often each occurs, `gold` (combinations x 2) how often
         with a known label; the known ones are part of the counts."""
         self.bits = ((votes[:, None] >> np.arange(VOTERS)) & 1).astype(np.int64)
-        # Known labels start the model; a text with no vote is taken for clean.
-        start = (gold + np.array([0.9, 0.1]) * 0.01) / (gold + np.array([0.9, 0.1]) * 0.01).sum(1, keepdims=True)
+        # Known labels start the model.
         share = np.clip(gold[:, 1].sum() / max(1.0, gold.sum()), 0.001, 0.999)
         rates = [(gold.T @ self.bits + 1.0) / (gold.sum(0)[:, None] + np.array([2.0, 2.0])[:, None])]
         self.parent = np.full(VOTERS, -1)
@@ -158,7 +157,6 @@ class LabelModel:
         for _ in range(rounds):
             self._fit(weight)
             weight = gold + unknown[:, None] * self.posterior(self.bits)
-        del start
 
     def _tree(self, weight: np.ndarray, least: float = 1e-4) -> np.ndarray:
         """Parents by the largest mutual information of two voters given the class."""

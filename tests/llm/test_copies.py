@@ -61,7 +61,7 @@ def test_long_texts_are_counted_in_slices(monkeypatch):
     assert simhash.fingerprint(text) == whole == plain_fingerprint(text.decode())
 
 
-@pytest.mark.parametrize(("budget", "parts"), [(1, 2), (2, 4), (3, 5), (2, 3)])
+@pytest.mark.parametrize(("budget", "parts"), [(1, 2), (2, 4), (3, 5), (2, 3), (7, 10)])
 def test_links_join_what_brute_force_joins(spark, monkeypatch, budget, parts):
     monkeypatch.setattr(simhash, "FRONTIER", 16)
     monkeypatch.setattr(simhash, "BUFFER_ROWS", 64)
