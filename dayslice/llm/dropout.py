@@ -28,7 +28,7 @@ from .common import ship, slices, whole_text
 DROPOUT = 0.1
 VARIANTS = 4
 #: Segmentations a worker keeps in each half of its cache.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 800_000
 LONGEST_CACHED = 48
 SLICE_BYTES = 2 << 20
 SPACE = "▁"
@@ -37,6 +37,7 @@ SCANNED = 64
 NEVER = float("inf")
 #: Odd numbers that spread the places and pieces of the keyed hash.
 PLACE_KEY, PIECE_KEY, SPREAD = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B97F4A7C15
+PLACES = [place * PLACE_KEY for place in range(SCANNED)]
 #: The space sign as a character of the text is no space; as this symbol it is in no vocabulary.
 SIGN = "\0" + SPACE
 _units = re.compile(r" *[^ ]+| +")
@@ -81,6 +82,9 @@ class Segmenter:
                     raise ValueError("a piece holds a space after another character")
                 self.pieces[piece] = (-library.get_score(i), i)
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
+        self.ranks = {piece: rank for piece, (rank, _) in self.pieces.items()}
+        self.ids = {piece: number for piece, (_, number) in self.pieces.items()}
+        self.hashed = {piece: number * PIECE_KEY for piece, number in self.ids.items()}
         self.fresh: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.kept = 0
@@ -98,11 +102,15 @@ class Segmenter:
         if " " in unit or SPACE in unit:
             symbols = [SPACE if c == " " else SIGN if c == SPACE else c for c in symbols]
         symbols = self._scan(symbols, self._key(unit, variant)) if len(symbols) <= SCANNED else self._agenda(symbols, self._key(unit, variant))
+        number = self.ids
+        try:
+            return array("I", [number[s] for s in symbols]).tobytes()
+        except KeyError:
+            pass
         ids: list[int] = []
         for symbol in symbols:
-            found = self.pieces.get(symbol)
-            if found is not None:
-                ids.append(found[1])
+            if symbol in number:
+                ids.append(number[symbol])
             else:
                 plain = SPACE if symbol == SIGN else symbol
                 ids += [self.byte_ids[b] for b in plain.encode("utf-8", "surrogatepass")]
@@ -110,10 +118,9 @@ class Segmenter:
 
     def _scan(self, symbols: list[str], key: int) -> list[str]:
         """The agenda of a short unit: a list of candidates whose least is looked up."""
-        pieces, none, limit = self.pieces, (NEVER, 0), self.limit
-        get = pieces.get
-        start = list(range(len(symbols)))
-        ranks = [get(a + b, none)[0] for a, b in zip(symbols, symbols[1:], strict=False)]
+        get, hashed, limit = self.ranks.get, self.hashed, self.limit
+        start = PLACES[: len(symbols)]
+        ranks = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
         while ranks:
             best = min(ranks)
             if best == NEVER:
@@ -121,15 +128,15 @@ class Segmenter:
             i = ranks.index(best)
             both = symbols[i] + symbols[i + 1]
             # As _skips, written out: this line runs once for each candidate.
-            if limit and ((key ^ start[i] * PLACE_KEY ^ pieces[both][1] * PIECE_KEY) * SPREAD >> 24) & 0xFFFFFFFF < limit:
+            if limit and ((key ^ start[i] ^ hashed[both]) * SPREAD >> 24) & 0xFFFFFFFF < limit:
                 ranks[i] = NEVER
                 continue
             symbols[i : i + 2] = [both]
             del start[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = get(both + symbols[i + 1], none)[0]
+                ranks[i] = get(both + symbols[i + 1], NEVER)
             if i:
-                ranks[i - 1] = get(symbols[i - 1] + both, none)[0]
+                ranks[i - 1] = get(symbols[i - 1] + both, NEVER)
         return symbols
 
     def _agenda(self, symbols: list[str], key: int) -> list[str]:
