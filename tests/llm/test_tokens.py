@@ -166,7 +166,7 @@ def test_without_dropout_the_ids_are_the_library_s(proto):
         assert np.frombuffer(own.encode(text, 3), "<u4").tolist() == library.encode(text)
     # Both ways to run the agenda skip alike.
     skipping = dropout.Segmenter(proto, 3, 0.3, 1)
-    for text in {w for _, t in documents() for w in (t or "").split()}:
+    for text in {w for _, t in documents() for w in (t or "").split() if len(w) <= dropout.SCANNED}:
         assert skipping._scan(list(text), 12345) == skipping._agenda(list(text), 12345)
 
 
