@@ -3,9 +3,10 @@
 Symbols of a text are merged from an agenda, the best-scored candidate first. Each candidate that comes up is skipped
 with probability `dropout`, decided by a keyed hash and not by a random stream, so a rerun gives the same ids.
 No piece of such a vocabulary has a space after another character, so a text falls into units, each with its leading
-spaces, that merge alone. The key of a unit is a hash of the seed, the document and the unit's place, reduced to `variants`
-values; unit, variant, place in the unit and piece then decide each skip. A worker remembers segmentations of a
-unit by variant, so frequent words cost a look-up and still come in several forms within one document.
+spaces, that merge alone. Seed, document, place of the unit, place in the unit and piece decide each skip, so every occurrence
+of a word has its own draw. A worker remembers for a unit the candidates of its merge without skips and what comes of them; if
+an occurrence skips one of them, it goes on to what is remembered of the unit with that skip, and so on. The draws of a text
+are made together, and frequent words cost a look-up for each skip, yet come out as if each occurrence were merged alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,16 @@ from pyspark.sql import functions as F
 from .common import ship, slices, whole_text
 
 DROPOUT = 0.1
-VARIANTS = 4
-#: Segmentations a worker keeps in each half of its cache.
-CACHE_UNITS = 800_000
+#: Segmentations a worker keeps in each half of its cache, those after skips included.
+CACHE_NODES = 600_000
 LONGEST_CACHED = 48
 SLICE_BYTES = 2 << 20
 SPACE = "▁"
 #: Units up to so many characters are merged by looking for the least candidate, longer ones with a heap.
 SCANNED = 64
 NEVER = float("inf")
-#: Odd numbers that spread the places and pieces of the keyed hash.
+#: Odd numbers that spread the units, places and pieces of the keyed hash.
+UNIT_KEY = 0xD6E8FEB86659FD93
 PLACE_KEY, PIECE_KEY, SPREAD = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B97F4A7C15
 PLACES = [place * PLACE_KEY for place in range(SCANNED)]
 #: The space sign as a character of the text is no space; as this symbol it is in no vocabulary.
@@ -51,23 +53,23 @@ def model(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def segmenter(proto: bytes, seed: int, dropout: float, variants: int) -> "Segmenter":
+def segmenter(proto: bytes, seed: int, dropout: float, variants: int | None = None) -> "Segmenter":
     """The segmenter of this worker process for a model and its settings."""
-    key = (zlib.crc32(proto), seed, dropout, variants)
+    key = (zlib.crc32(proto), seed, dropout)
     if key not in _segmenters:
         _segmenters.clear()
-        _segmenters[key] = Segmenter(proto, seed, dropout, variants)
+        _segmenters[key] = Segmenter(proto, seed, dropout)
     return _segmenters[key]
 
 
 class Segmenter:
-    """Encodes and decodes texts with one BPE model that has byte fallback."""
+    """Encodes and decodes texts with one BPE model that has byte fallback. `variants` limits nothing any more."""
 
-    def __init__(self, proto: bytes, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, proto: bytes, seed: int = 0, dropout: float = DROPOUT, variants: int | None = None):
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.seed, self.variants = seed, variants
+        self.seed = seed
         #: A hash of 32 bits below this skips a merge.
         self.limit = int(dropout * (1 << 32))
         self.pieces: dict[str, tuple[float, int]] = {}
@@ -85,23 +87,42 @@ class Segmenter:
         self.ranks = {piece: rank for piece, (rank, _) in self.pieces.items()}
         self.ids = {piece: number for piece, (_, number) in self.pieces.items()}
         self.hashed = {piece: number * PIECE_KEY for piece, number in self.ids.items()}
-        self.fresh: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.kept = 0
+        # By unit, or by unit and the places of its skipped candidates: the ids if no later one is skipped, and the later ones.
+        self.known: dict[str | tuple, tuple[bytes, bytes]] = {}
+        self.earlier: dict[str | tuple, tuple[bytes, bytes]] = {}
 
-    def _key(self, unit: str, variant: int) -> int:
-        return zlib.crc32(unit.encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF) ^ variant * 0x9E3779B1
+    def _key(self, document: int | str, place: int) -> int:
+        """The key of the unit at a place of a document."""
+        base = xxhash.xxh64_intdigest(str(document), self.seed & _mask)
+        return int(self._keys(base, np.array([place], dtype=np.uint64))[0])
+
+    @staticmethod
+    def _keys(base: int, places: np.ndarray) -> np.ndarray:
+        key = (places + np.uint64(base)) * np.uint64(UNIT_KEY)
+        return (key ^ (key >> np.uint64(32))) * np.uint64(SPREAD)
 
     def _skips(self, key: int, place: int, piece: int) -> bool:
         """The keyed hash: whether this candidate merge is skipped."""
-        return ((key ^ place * PLACE_KEY ^ piece * PIECE_KEY) * SPREAD >> 24) & 0xFFFFFFFF < self.limit
+        mixed = (key ^ place * PLACE_KEY ^ piece * PIECE_KEY) * SPREAD & _mask
+        return ((mixed ^ mixed >> 32) * SPREAD & _mask) >> 32 < self.limit
+
+    def _skipped(self, keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """As _skips, for many candidates."""
+        mixed = (keys ^ draws) * np.uint64(SPREAD)
+        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(SPREAD)) >> np.uint64(32) < np.uint64(self.limit)
 
-    def segment(self, unit: str, variant: int) -> bytes:
-        """Ids of one unit as little-endian unsigned 32-bit integers."""
-        symbols = list(unit)
+    @staticmethod
+    def _symbols(unit: str) -> list[str]:
         if " " in unit or SPACE in unit:
-            symbols = [SPACE if c == " " else SIGN if c == SPACE else c for c in symbols]
-        symbols = self._scan(symbols, self._key(unit, variant)) if len(symbols) <= SCANNED else self._agenda(symbols, self._key(unit, variant))
+            return [SPACE if c == " " else SIGN if c == SPACE else c for c in unit]
+        return list(unit)
+
+    def segment(self, unit: str, key: int) -> bytes:
+        """Ids of one unit as little-endian unsigned 32-bit integers; its skips are those of the key."""
+        symbols = self._symbols(unit)
+        return self._numbers(self._scan(symbols, key) if len(symbols) <= SCANNED else self._agenda(symbols, key))
+
+    def _numbers(self, symbols: list[str]) -> bytes:
         number = self.ids
         try:
             return array("I", [number[s] for s in symbols]).tobytes()
@@ -116,8 +137,11 @@ class Segmenter:
                 ids += [self.byte_ids[b] for b in plain.encode("utf-8", "surrogatepass")]
         return array("I", ids).tobytes()
 
-    def _scan(self, symbols: list[str], key: int) -> list[str]:
-        """The agenda of a short unit: a list of candidates whose least is looked up."""
+    def _scan(self, symbols: list[str], key: int, skipped: list[int] | None = None, draws: array | None = None) -> list[str]:
+        """The agenda of a short unit: a list of candidates whose least is looked up.
+
+        With `draws` the candidates are noted there, and `skipped` tells by their order which are skipped.
+        """
         get, hashed, limit = self.ranks.get, self.hashed, self.limit
         start = PLACES[: len(symbols)]
         ranks = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
@@ -127,8 +151,15 @@ class Segmenter:
                 break
             i = ranks.index(best)
             both = symbols[i] + symbols[i + 1]
-            # As _skips, written out: this line runs once for each candidate.
-            if limit and ((key ^ start[i] ^ hashed[both]) * SPREAD >> 24) & 0xFFFFFFFF < limit:
+            draw = start[i] ^ hashed[both]
+            if draws is not None:
+                draws.append(draw)
+                skip = len(draws) - 1 in skipped
+            else:
+                # As _skips, written out.
+                mixed = (key ^ draw) * SPREAD & _mask
+                skip = ((mixed ^ mixed >> 32) * SPREAD & _mask) >> 32 < limit
+            if skip:
                 ranks[i] = NEVER
                 continue
             symbols[i : i + 2] = [both]
@@ -163,15 +194,15 @@ class Segmenter:
                 heapq.heappush(agenda, (pieces[symbols[k] + both][0], k, symbols[k] + both))
         return [s for s in symbols if s]
 
-    def _known(self, unit: str, variant: int) -> bytes:
-        found = self.old[variant].get(unit)
+    def _learn(self, key: str | tuple) -> tuple[bytes, bytes]:
+        """What `known` holds for a key, from the older half of the cache or by merging."""
+        found = self.earlier.pop(key, None)
         if found is None:
-            found = self.segment(unit, variant)
-        if len(unit) <= LONGEST_CACHED:
-            if self.kept >= CACHE_UNITS:
-                self.old, self.fresh, self.kept = self.fresh, [{} for _ in range(self.variants)], 0
-            self.fresh[variant][unit] = found
-            self.kept += 1
+            unit, *skipped = (key,) if isinstance(key, str) else key
+            draws = array("Q")
+            ids = self._numbers(self._scan(self._symbols(unit), 0, skipped, draws))
+            found = ids, draws[skipped[-1] + 1 if skipped else 0 :].tobytes()
+        self.known[key] = found
         return found
 
     def encode(self, text: str, document: int) -> bytes:
@@ -181,13 +212,39 @@ class Segmenter:
         whole = " " + text
         # Almost always each unit has one leading space.
         units = [" " + u for u in text.split(" ")] if "  " not in whole and whole[-1] != " " else _units.findall(whole)
-        place = np.arange(len(units), dtype=np.uint64) + np.uint64(((document & _mask) * 0xD6E8FEB86659FD93 + self.seed) & _mask)
-        place = (place ^ (place >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        variant = ((place ^ (place >> np.uint64(32))) % np.uint64(self.variants)).tolist()
-        out = []
-        for unit, v in zip(units, variant, strict=True):
-            ids = self.fresh[v].get(unit)
-            out.append(self._known(unit, v) if ids is None else ids)
+        keys = self._keys(xxhash.xxh64_intdigest(str(document), self.seed & _mask), np.arange(len(units), dtype=np.uint64))
+        if len(self.known) >= CACHE_NODES:
+            self.earlier, self.known = self.known, {}
+        out, at, names, draws = [b""] * len(units), [], [], []
+        get = self.known.get
+        for i, unit in enumerate(units):
+            found = get(unit)
+            if found is None:
+                if len(unit) > LONGEST_CACHED:
+                    out[i] = self.segment(unit, int(keys[i]))
+                    continue
+                found = self._learn(unit)
+            out[i] = found[0]
+            at.append(i)
+            names.append(unit)
+            draws.append(found[1])
+        # Each round takes the occurrences one skip further, until none has another.
+        while at and self.limit:
+            places, counts = np.array(at), np.array([len(d) // 8 for d in draws])
+            ends = np.cumsum(counts)
+            owner = np.repeat(np.arange(len(at)), counts)
+            hit = np.flatnonzero(self._skipped(keys[places[owner]], np.frombuffer(b"".join(draws), dtype=np.uint64)))
+            who = owner[hit]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            who, hit = who[first], hit[first]
+            at, skips = places[who].tolist(), (hit - ends[who] + counts[who]).tolist()
+            before = [names[w] for w in who.tolist()]
+            names = [(n, k) if isinstance(n, str) else (*n, n[-1] + 1 + k) for n, k in zip(before, skips, strict=True)]
+            draws = []
+            for i, name in zip(at, names, strict=True):
+                found = get(name) or self._learn(name)
+                out[i] = found[0]
+                draws.append(found[1])
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -224,7 +281,7 @@ def _encode(proto, settings, check: bool):
 
 def _decode(proto):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(proto.value, 0, 0.0, 1)
+        own = segmenter(proto.value, 0, 0.0)
         for batch in batches:
             texts = [own.decode(np.array(ids if ids is not None else [], dtype=np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -237,20 +294,21 @@ def encode(
     path: str,
     seed: int = 0,
     dropout: float = DROPOUT,
-    variants: int = VARIANTS,
+    variants: int | None = None,
     check: bool = False,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """doc_id, n_ids and ids of every text; with `check` also checksums of the ids, the text and the text decoded from them.
 
+    `variants` limits nothing any more: each occurrence of a unit draws its own skips.
     With `dropout` 0 the ids are the library's own. A null or empty text has no ids. Rows with one id and one text
     get equal ids; null ids count as document 0. Repeated rows come out as often as they came in. An empty table gives
     no rows; other columns are ignored. No row leaves its task.
     """
     ship(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
-    run = _encode(model(docs.sparkSession, path), (seed, dropout, variants), check)
+    run = _encode(model(docs.sparkSession, path), (seed, dropout), check)
     return plain.mapInArrow(run, CHECKED if check else ENCODED)
 
 
