@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitpack, dropout, lines, mtree, packing, ppm, simhash, sketch, toxicity, urls
+from . import bitpack, decontam, dropout, laesa, lines, mtree, packing, ppm, simhash, sketch, threshold, toxicity, urls
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,21 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropout.encode(table(spark, sf_dir, "documents"), path, seed=2026, check=True)
 
 
+def op11_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return threshold.mine(vectors.withColumn("label", moved), anchors=F.col("vec_id") % 100 == 0)
+
+
+def op13_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontam.build_index(table(spark, sf_dir, "documents"))
+    return decontam.digests(decontam.find(index, decontam.windows(table(spark, sf_dir, "benchmark"))))
+
+
 QUERIES: dict[str, Run] = {
     "op1_ppm_score": op1_ppm_score,
     "op2_packed_ids": op2_packed_ids,
@@ -73,6 +89,9 @@ QUERIES: dict[str, Run] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit": op9_best_fit,
     "op10_merge_dropout": op10_merge_dropout,
+    "op11_laesa_clusters": op11_laesa_clusters,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_fm_decontamination": op13_fm_decontamination,
 }
 
 SQL: dict[str, str] = {
