@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import same
-from ..session import fits_broadcast
+from ..session import fits_broadcast, materialize
 
 
 def broadcast_dim(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -58,6 +59,64 @@ def join_as_of(
     return f.join(d, on, "left").select("f.*", *extra)
 
 
+def join_as_of_sorted(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: Sequence[str],
+    ts: str,
+    lo: str,
+    hi: str,
+    closed: bool = True,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """`join_as_of` without comparing facts and versions in pairs, for keys with many versions.
+
+    Facts and versions of a key are one sorted run in which the last version is carried forward, so the work is a sort, whatever the
+    number of versions. Versions of a key must not overlap (`scd2.overlapping_versions`); a fact in a gap, without a time or with
+    a NULL in its key finds none.
+
+    With `hot_rows`, the run of a key with more facts than that is cut at quantiles of its times: each range gets the versions that start in
+    it and the one open at its cut. The cuts are one row for each hot key, at most rows / hot_rows.
+    """
+    extra = [c for c in dim.columns if c not in key]
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    versions = dim.where(whole & F.col(lo).isNotNull()).select(
+        *key, F.col(lo).alias("_at"), F.lit(0).alias("_kind"), F.struct(*extra).alias("_version")
+    )
+    facts = fact.select(*key, F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.struct(*fact.columns).alias("_fact"))
+    run = [*key]
+    if hot_rows is not None:
+        cuts = _time_cuts(fact, key, ts, hot_rows)
+        small = F.broadcast(cuts) if fits_broadcast(cuts) else cuts
+        place = lambda at: F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.unix_micros(at.cast("timestamp")))), F.lit(0))
+        facts = facts.join(small, list(key), "left").withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place(F.col("_at"))))
+        following = F.lead("_at").over(Window.partitionBy(*key).orderBy("_at"))
+        last = F.when(F.col("_next").isNull(), F.size("_cuts")).otherwise(place(F.col("_next")))
+        spans = F.when(F.col("_cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(place(F.col("_at")), last))
+        versions = versions.withColumn("_next", following).join(small, list(key), "left").withColumn("_range", F.explode(spans)).drop("_next")
+        facts, versions, run = facts.drop("_cuts"), versions.drop("_cuts"), [*key, "_range"]
+    both = versions.unionByName(facts, allowMissingColumns=True)
+    carried = F.last("_version", ignorenulls=True).over(
+        Window.partitionBy(*run).orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    met = both.withColumn("_open", carried).where("_kind = 1")
+    end = F.col(f"_open.{hi}")
+    inside = F.col("_at") <= end if closed else end.isNull() | (F.col("_at") < end)
+    valid = whole & F.col("_at").isNotNull() & F.col("_open").isNotNull() & inside
+    return met.withColumn("_open", F.when(valid, F.col("_open"))).select("_fact.*", *[F.col(f"_open.{c}").alias(c) for c in extra])
+
+
+def _time_cuts(fact: DataFrame, key: Sequence[str], ts: str, hot_rows: int, ranges: int = 64) -> DataFrame:
+    """Key and ascending times, in microseconds, at which the run of a hot key is cut into `ranges` of about equal size."""
+    counts = fact.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = materialize(counts.select(*key), "hot-keys")
+    small = F.broadcast(hot) if fits_broadcast(hot) else hot
+    share = [i / ranges for i in range(1, ranges)]
+    times = F.unix_micros(F.col(ts).cast("timestamp"))
+    found = fact.join(small, list(key), "left_semi").groupBy(*key).agg(F.array_distinct(F.percentile_approx(times, share, 1000)).alias("_cuts"))
+    return materialize(found.where("_cuts IS NOT NULL"), "time-cuts")
+
+
 def join_current(fact: DataFrame, dim: DataFrame, key: Sequence[str]) -> DataFrame:
     """Join to the current versions only. Filtering first avoids one output row per version."""
     return fact.join(dim.where("is_current"), list(key))

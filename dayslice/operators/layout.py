@@ -6,11 +6,13 @@ import datetime as dt
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ReconcileError
 from ..functions.columns import count_if, day, shift
+from ..session import materialize, new_dir
 from .reconcile import Check
 
 
@@ -90,6 +92,139 @@ def cluster_by(df: DataFrame, cols: Sequence[str], n: int | None = None) -> Data
     return ranged.sortWithinPartitions(*keys)
 
 
+#: Bits of a column's rank in a Z-order; 2^bits - 1 quantiles are kept for each column.
+RANK_BITS = 8
+RANGES = "_ranges"
+
+
+def _as_number(df: DataFrame, c: str) -> Column:
+    """A value's place in its order as a number; of a text, its first six bytes."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    return F.col(c).cast("double")
+
+
+def _rank(value: Column, cuts: Sequence[float], bits: int) -> Column:
+    """How many cuts do not exceed the value, by halving; a NULL comes first."""
+    padded = F.array(*[F.lit(float(c)) for c in cuts])
+    steps = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) <= value, step).otherwise(F.lit(0)))
+    return F.coalesce(found, F.lit(0))
+
+
+def zorder(df: DataFrame, cols: Sequence[str], n: int | None = None, bits: int = RANK_BITS) -> DataFrame:
+    """Order a table along a Z curve, so that files cover narrow ranges of every one of the columns.
+
+    Each column counts by its rank among 2^bits - 1 approximate quantiles (one pass, a bounded result), so skew and units do not
+    matter. The ranks' bits are interleaved, the first column's highest, and the result is the key of a range partitioning.
+    Equal rows of a hot value differ in the other columns; a value hot in all of them is spread by the range sample of Spark.
+    """
+    if len(cols) * bits > 62:
+        raise ValueError(f"{len(cols)} columns of {bits} bits do not fit a long")
+    share = [i / (1 << bits) for i in range(1, 1 << bits)]
+    numbers = {c: _as_number(df, c) for c in cols}
+    found = df.agg(*[F.percentile_approx(v, share, 10 << bits).alias(f"_{i}") for i, v in enumerate(numbers.values())]).first()
+    cuts = [found[i] or [math.inf] * len(share) for i in range(len(cols))]
+    names = [f"_rank_{i}" for i in range(len(cols))]
+    ranked = df.withColumns({name: _rank(v, own, bits) for name, v, own in zip(names, numbers.values(), cuts, strict=True)})
+    z = F.lit(0).cast("bigint")
+    for bit in range(bits - 1, -1, -1):
+        for name in names:
+            z = F.shiftleft(z, 1).bitwiseOR(F.shiftright(F.col(name).cast("bigint"), bit).bitwiseAND(F.lit(1).cast("bigint")))
+    placed = ranked.withColumn("_z", z).drop(*names)
+    ranged = placed.repartitionByRange("_z") if n is None else placed.repartitionByRange(n, "_z")
+    return ranged.sortWithinPartitions("_z").drop("_z")
+
+
+def file_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows, and the least and greatest value of each column, of every file of a table."""
+    ends = [f(c).alias(f"{name}_{c}") for c in cols for name, f in (("min", F.min), ("max", F.max))]
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"), *ends)
+
+
+def write_ranged(df: DataFrame, path: str, cols: Sequence[str]) -> None:
+    """Write a clustered table and, beside its files, the ranges of its lookup columns."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(path)
+    file_ranges(spark.read.schema(df.schema).parquet(path), cols).coalesce(1).write.mode("overwrite").parquet(f"{path}/{RANGES}")
+
+
+def files_for(spark: SparkSession, path: str, col: str, lo: object, hi: object) -> list[str]:
+    """Files of a table of `write_ranged` that can hold lo <= col <= hi."""
+    ranges = spark.read.parquet(f"{path}/{RANGES}")
+    inside = (F.col(f"max_{col}") >= F.lit(lo)) & (F.col(f"min_{col}") <= F.lit(hi))
+    return sorted(r["file"] for r in ranges.where(inside).select("file").collect())
+
+
+def lookup(spark: SparkSession, path: str, schema: T.StructType, col: str, lo: object, hi: object) -> DataFrame:
+    """Rows with lo <= col <= hi; only files whose range meets it are opened, and none are listed."""
+    files = files_for(spark, path, col, lo, hi)
+    rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return rows.where(F.col(col).between(F.lit(lo), F.lit(hi)))
+
+
+def small_file_plan(files: DataFrame, part: str, target: int, small: float = 0.75) -> DataFrame:
+    """Which files to rewrite together: (part, file, size, bin), bins of about `target` bytes for each slice.
+
+    `files` has a row (part, file, size) for each file. Those of at least `small` of the target stay, and so does a slice with one small
+    file. Bins follow the running sum of sizes, so a bin is at most one file over the target.
+    """
+    little = files.where(F.col("size") < small * target)
+    one = Window.partitionBy(part)
+    before = one.orderBy("size", "file").rowsBetween(Window.unboundedPreceding, -1)
+    binned = little.withColumn("bin", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / target).cast("int"))
+    return binned.withColumn("_files", F.count("*").over(Window.partitionBy(part, "bin"))).where("_files > 1").drop("_files")
+
+
+def compact_small(spark: SparkSession, path: str, part: str, target: int = 128 << 20) -> dict[str, int]:
+    """Rewrite only the small files of a partitioned table in place, and report what was done.
+
+    New files are written aside and counted, then moved into their slice, and only then the old ones are deleted. `files` and `bytes` are those in
+    place before, `rewritten_files` and `rewritten_bytes` what the plan touches, `new_files` what replaces them. A plan
+    over files is a list: its size follows the number of small files. One writer at a time; a reader that starts between move and
+    delete sees rows twice, so point a catalog table at a copy with `switch_location` where readers cannot wait.
+    """
+    table = spark.read.parquet(path)
+    listed = table.select(part, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    total = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+    plan = materialize(small_file_plan(listed, part, target), "compaction-plan")
+    done = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+    report = {"files": total["n"], "bytes": total["b"], "rewritten_files": done["n"], "rewritten_bytes": done["b"], "new_files": 0}
+    if not done["n"]:
+        return report
+    old = [r["file"] for r in plan.select("file").collect()]
+    rows = spark.read.option("basePath", path).schema(table.schema).parquet(*old).withColumn("file", F.col("_metadata.file_path"))
+    aside = new_dir(spark, "compacted")
+    bins = plan.select(F.col("file").alias("_file"), "bin")
+    placed = rows.join(bins, F.col("file") == F.col("_file")).drop("file", "_file")
+    # One task for each bin, so one file for each.
+    placed.repartition(F.col(part), F.col("bin")).write.partitionBy(part, "bin").parquet(aside)
+    a, b = fingerprint(rows.drop("file")).first(), fingerprint(spark.read.schema(table.schema).parquet(aside).select(table.columns)).first()
+    if (a["n_rows"], a["checksum"]) != (b["n_rows"], b["checksum"]):
+        raise ReconcileError(f"compaction changed the content: {a} became {b}")
+    new = [s.getPath() for s in _statuses(spark, f"{aside}/*/*/*.parquet")]
+    files = new[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    for source in new:
+        slice_name = source.getParent().getParent().getName()
+        files.rename(source, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{slice_name}/{source.getParent().getName()}-{source.getName()}"))
+    for gone in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(gone)), False)
+    return report | {"new_files": len(new)}
+
+
+def _statuses(spark: SparkSession, pattern: str) -> list:
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or [])
+
+
 def partition_flat(df: DataFrame, path: str, ts: str, out: str = "order_date") -> None:
     """Rewrite files with opaque names into one folder per day, so a day's query opens one folder."""
     write_compact(df.withColumn(out, F.col(ts).cast("date")), path, out)

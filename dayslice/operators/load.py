@@ -128,9 +128,11 @@ def upsert_scd1(
     new = batch.withColumn("_in_batch", F.lit(True)).alias("s")
     run = F.when(F.col("s._in_batch").isNotNull(), day(ds))
     newer = run.isNotNull() & (F.col(f"t.{last_updated}").isNull() | (run >= F.col(f"t.{last_updated}")))
-    joined = old.join(new, list(key), "full_outer")
+    # Null-safe, so that a NULL key keeps its one row from run to run.
+    met = reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key])
+    joined = old.join(new, met, "full_outer")
     return joined.select(
-        *key,
+        *[F.coalesce(F.col(f"t.{k}"), F.col(f"s.{k}")).alias(k) for k in key],
         *[F.when(newer, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in set_cols],
         F.least(F.col(f"t.{first_seen}"), run).alias(first_seen),
         F.greatest(F.col(f"t.{last_updated}"), run).alias(last_updated),
@@ -154,12 +156,13 @@ def upsert_activity(
     batch = unique_source(daily.select(key, *attrs.values()), [key]).select(
         key, *[F.col(v).alias(k) for k, v in attrs.items()], day(ds).alias("_ds")
     )
-    joined = dim.alias("t").join(batch.alias("s"), key, "full_outer")
+    # Null-safe, so that a NULL key keeps its one row from run to run.
+    joined = dim.alias("t").join(batch.alias("s"), F.col(f"t.{key}").eqNullSafe(F.col(f"s.{key}")), "full_outer")
     newer = F.col("s._ds").isNotNull() & (
         F.col(f"t.{last_active}").isNull() | (F.col("s._ds") >= F.col(f"t.{last_active}"))
     )
     return joined.select(
-        key,
+        F.coalesce(F.col(f"t.{key}"), F.col(f"s.{key}")).alias(key),
         *[F.when(newer, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in attrs],
         F.least(F.col(f"t.{first_seen}"), F.col("s._ds")).alias(first_seen),
         F.greatest(F.col(f"t.{last_active}"), F.col("s._ds")).alias(last_active),
@@ -189,16 +192,18 @@ def apply_cdc(
     order: Sequence[str],
     op: str = "op",
     delete: str = "D",
+    add: Sequence[str] = (),
 ) -> DataFrame:
     """Apply inserts, updates and deletes; deleting an absent key does nothing.
 
-    Batches have to come in order: a later call wins whatever its times. `merge_changes` needs no order.
+    `add` names columns of the changes that the target gains, NULL in the rows that stay. Batches have to come in order: a later call wins whatever its times. `merge_changes` needs no order.
     """
     last = keep_latest(changes, key, order)
     # Distinct keys: a key changed very often is reduced before the shuffle.
     kept = tgt.join(changes.select(*key).distinct(), list(key), "left_anti")
     live = last.where(~F.col(op).eqNullSafe(F.lit(delete)))
-    return kept.select(tgt.columns).unionByName(live.select(tgt.columns))
+    new = [c for c in add if c not in tgt.columns]
+    return union_evolving(kept.select(tgt.columns), live.select(*tgt.columns, *new))
 
 
 def merge_changes(
@@ -208,12 +213,12 @@ def merge_changes(
 
     The table keeps deletes as rows, so a late change of a deleted key finds out that it is old; `live` hides them.
     Applying a batch twice, or batches in another order, gives the same table. Keys without a change pass by an
-    anti join.
+    anti join. A column that only one side has is NULL in the rows of the other.
     """
     keys = changes.select(*key).distinct()
-    known = table.join(keys, list(key), "left_semi").select(changes.columns)
-    kept = table.join(keys, list(key), "left_anti").select(changes.columns)
-    return kept.unionByName(keep_latest(known.unionByName(changes), key, order))
+    known = table.join(keys, list(key), "left_semi").select(table.columns)
+    kept = table.join(keys, list(key), "left_anti").select(table.columns)
+    return union_evolving(kept, keep_latest(union_evolving(known, changes), key, order))
 
 
 def live(table: DataFrame, op: str = "op", delete: str = "D") -> DataFrame:

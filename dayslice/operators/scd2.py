@@ -4,7 +4,8 @@ Two conventions. Open: [effective_from, effective_to) with NULL as open end and
 key per version. Closed: [effective_date, expiration_date] with 9999-12-31 as open end and
 a version number. Both applies first undo the run date, so a date can be run again, also
 with a corrected snapshot, and raise on a date older than the table.
-Only current rows are joined; history passes through without a shuffle.
+Only current rows are joined. History passes through without a shuffle; the closed form searches it for the
+versions of keys that open without a current row, by a broadcast of these keys where they are few.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import day, same, shift
-from ..session import materialize
+from ..session import fits_broadcast, materialize
 from .load import unique_source
 from .numbering import number_rows
 
@@ -82,13 +83,17 @@ def apply_scd2_closed(
     """
     forever = F.lit(OPEN_END).cast("date")
     before = _undo(dim, ds, "effective_date", "expiration_date", day(shift(ds, -1)), forever)
-    met = _meet(before, snap, key, attrs, close_missing)
-    # A current row has the highest version of its key. Only a key of the snapshot without a current row may
-    # have closed versions to count on from: history is searched for those keys, and else passes by.
-    without = snap.select(*key).distinct().join(before.where("is_current").select(*key), list(key), "left_anti")
-    closed = before.where("NOT is_current").join(without, list(key), "left_semi")
-    last = closed.groupBy(*key).agg(F.max("version").alias("_last"))
-    both = met.join(last, list(key), "left")
+    # A current row has the highest version of its key. Only a key that opens without a current row may have closed versions to count on
+    # from: new keys and those that come back. The join is written, these few keys are taken from it, and history is
+    # filtered by them; it is not touched where there are none.
+    met = materialize(_meet(before, snap, key, attrs, close_missing), "met")
+    without = met.where(F.col("_held").isNull()).select(*key)
+    if without.isEmpty():
+        both = met.withColumn("_last", F.lit(None).cast(dim.schema["version"].dataType))
+    else:
+        small = F.broadcast(without) if fits_broadcast(without) else without
+        closed = before.where("NOT is_current").join(small, list(key), "left_semi")
+        both = met.join(closed.groupBy(*key).agg(F.max("version").alias("_last")), list(key), "left")
     closes = F.col("_closes")
     cols = dim.columns
     old = {c: F.col(c) for c in cols} | {
@@ -202,6 +207,40 @@ def scd2_from_snapshots(
     return number_rows(versions, [*key, "effective_from"], surrogate)
 
 
+def scd2_from_snapshots_closing(
+    snaps: DataFrame,
+    key: Sequence[str],
+    attrs: Sequence[str],
+    date_col: str = "snapshot_date",
+    closed: bool = True,
+    surrogate: str | None = None,
+) -> DataFrame:
+    """`scd2_from_snapshots` that ends the version of a key which a snapshot lacks, as `close_missing` does day by day.
+
+    The dates of all snapshots say which date follows which: a row continues the version before it if it lies on the next
+    date and has the same attributes. Else a version starts, also for a key that comes back unchanged. A version ends on the date
+    after its last row. A key has one row per snapshot date, so the window per key is bounded by the calendar, and so are the dates.
+    """
+    dates = snaps.select(F.col(date_col)).distinct()
+    following = F.lead(date_col).over(Window.partitionBy(F.lit(0)).orderBy(date_col))
+    calendar = dates.select(date_col, following.alias("_next"))
+    per_key = Window.partitionBy(*key).orderBy(date_col)
+    rows = snaps.select(*key, *attrs, date_col).join(F.broadcast(calendar), date_col)
+    previous = [F.lag(a).over(per_key) for a in attrs]
+    goes_on = F.coalesce(F.lag("_next").over(per_key) == F.col(date_col), F.lit(False))
+    starts = (~(goes_on & same([F.col(a) for a in attrs], previous))).cast("int")
+    runs = rows.withColumn("_starts", starts).withColumn("version", F.sum("_starts").over(per_key).cast("int"))
+    versions = runs.groupBy(*key, "version").agg(
+        *[F.max_by(a, date_col).alias(a) for a in attrs], F.min(date_col).alias("_from"), F.max_by("_next", date_col).alias("_to")
+    )
+    current = F.col("_to").isNull().alias("is_current")
+    if closed:
+        last = F.coalesce(F.date_sub("_to", 1), F.lit(OPEN_END).cast("date"))
+        return versions.select(*key, *attrs, F.col("_from").alias("effective_date"), last.alias("expiration_date"), current, "version")
+    opened = versions.select(*key, *attrs, F.col("_from").alias("effective_from"), F.col("_to").alias("effective_to"), current)
+    return opened if surrogate is None else number_rows(opened, [*key, "effective_from"], surrogate)
+
+
 def as_of(dim: DataFrame, ds: str | dt.date, lo: str, hi: str, closed: bool = True) -> DataFrame:
     """The version of each key that was valid on a date."""
     point = day(ds)

@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import as_col, day, ratio, shift
+from ..session import fits_broadcast, materialize
 
 
 def day_grid(
@@ -127,6 +129,46 @@ def order_sequence(
     )
 
 
+def order_sequence_split(
+    orders: DataFrame, entity: str, date_col: str, tie: Sequence[str], hot_rows: int = 1_000_000, ranges: int = 64
+) -> DataFrame:
+    """`order_sequence` for data in which one (entity, day) may hold a large part of all rows.
+
+    Days of an entity with more rows than `hot_rows` are cut at approximate quantiles of the first tie column, which must be a number, a date or
+    a time; rows get their place inside a range and the rows of the ranges before are added. Ranges are a function of the value, so
+    equal values stay together and the numbers equal those of one window.
+    """
+    group = [entity, date_col]
+    first = tie[0]
+    kind = orders.schema[first].dataType
+    dated = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    value = F.unix_micros(F.col(first).cast("timestamp")) if dated else F.col(first)
+    counts = orders.groupBy(*group).agg(F.count("*").alias("_n"))
+    hot = materialize(counts.where(F.col("_n") > hot_rows).select(*group), "hot-days")
+    near = F.broadcast(hot) if fits_broadcast(hot) else hot
+    share = [i / ranges for i in range(1, ranges)]
+    cuts = orders.join(near, group, "left_semi").groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, share, 1000)).alias("_cuts"))
+    cuts = materialize(cuts, "day-cuts")
+    known = F.broadcast(cuts) if fits_broadcast(cuts) else cuts
+    place = F.when(F.col("_cuts").isNull() | value.isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c <= value)))
+    placed = orders.join(known, group, "left").withColumn("_range", place).drop("_cuts")
+    per_range = placed.groupBy(*group, "_range").agg(F.count("*").alias("_m"))
+    earlier = Window.partitionBy(entity).orderBy(date_col, "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.select(*group, "_range", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
+    days = counts.select(*group, F.datediff(F.col(date_col), F.lag(date_col).over(Window.partitionBy(entity).orderBy(date_col))).alias("_gap"))
+    firsts = per_range.groupBy(*group).agg(F.min("_range").alias("_first"))
+    about = starts.join(days, group).join(firsts, group)
+    inside = Window.partitionBy(*group, "_range").orderBy(*tie)
+    opens = (F.col("_rn") == 1) & (F.col("_range") == F.col("_first"))
+    return (
+        placed.withColumn("_rn", F.row_number().over(inside))
+        .join(about, [*group, "_range"])
+        .withColumns({"order_no": F.col("_before") + F.col("_rn"), "gap_days": F.when(opens, F.col("_gap")).otherwise(F.lit(0))})
+        .withColumn("is_first", F.col("order_no") == 1)
+        .select(*orders.columns, "order_no", "gap_days", "is_first")
+    )
+
+
 def dod_change(fact: DataFrame, date_col: str) -> DataFrame:
     """Rows per day next to those of the calendar day before; a gap means no prior day."""
     daily = fact.groupBy(F.col(date_col).alias("day")).agg(F.count("*").alias("n_rows"))

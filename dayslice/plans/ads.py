@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import count_if, day, half_up, safe_ratio, total
 from ..operators.dedup import keep_first
 from ..operators.shape import in_domain, normalize_ids, on_day, select_known
+from ..sources.readers import date_series
 
 ID_COLUMNS = ("event_id", "ad_id", "campaign_id", "user_id")
 KNOWN_COLUMNS = (*ID_COLUMNS, "event_type", "event_ts", "device_type", "cost_micros")
@@ -45,6 +47,33 @@ def ad_daily(
     )
 
 
+#: 2^14 registers: a standard error of 0.8 % of the reach.
+SKETCH_SIZE = 14
+
+
+def reach_sketches(fact: DataFrame, ds: str | dt.date | None = None, by: Sequence[str] = ("ad_id",)) -> DataFrame:
+    """One mergeable sketch of the users for each day and ad; store it as a slice, like `ad_daily`."""
+    rows = fact if ds is None else on_day(fact, "event_date", ds)
+    return rows.groupBy("event_date", *by).agg(F.hll_sketch_agg("user_id", F.lit(SKETCH_SIZE)).alias("users"))
+
+
+def reach(sketches: DataFrame, lo: str | dt.date, hi: str | dt.date, by: Sequence[str] = ("ad_id",)) -> DataFrame:
+    """Users reached from lo to hi, both included, from stored sketches alone; `days` are those with a sketch.
+
+    Days overlap in their users, so daily reach cannot be added up; sketches can be united without reading an event again.
+    """
+    inside = sketches.where(F.col("event_date").between(day(lo), day(hi)))
+    return inside.groupBy(*by).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("reach"), F.count_distinct("event_date").cast("bigint").alias("days")
+    )
+
+
+def missing_days(sketches: DataFrame, lo: str | dt.date, hi: str | dt.date) -> DataFrame:
+    """Days from lo to hi for which no sketch is stored: a reach over them would be too low."""
+    wanted = date_series(sketches.sparkSession, lo, hi, "event_date")
+    return wanted.join(sketches.select("event_date").distinct(), "event_date", "left_anti")
+
+
 def ad_daily_rules() -> dict[str, Column]:
     """Conditions every row of `ad_daily` meets."""
     shown, clicked = F.col("impressions"), F.col("clicks")

@@ -16,6 +16,7 @@ from ..operators import access, contracts, quality, reconcile
 from ..operators.dedup import keep_first
 from ..operators.load import upsert_activity, upsert_scd1
 from ..operators.shape import in_domain, validate_orders
+from ..session import materialize
 from ..sources import writers
 from ..sources.readers import assert_nonempty, read_json_partition, read_parquet_slice, read_partitioned
 from .ads import KNOWN_COLUMNS, ad_daily, ad_daily_rules, campaign_metrics, fact_ad_events
@@ -98,9 +99,9 @@ def run_ads_day(
     drift = contracts.check_schema(assert_nonempty(raw, f"ad events {ds}"), AD_CONTRACT)
     contracts.enforce(drift, retyped_ok=AD_IDS)
     fact_path, agg_path = f"{root}/silver/fact_ad_events", f"{root}/gold/agg_ad_daily"
-    writers.write_slice(fact_ad_events(raw, ds), fact_path, "event_date", ds)
+    writers.write_slice(fact_ad_events(raw, ds), fact_path, "event_date", ds, evolving=True)
 
-    known = read_partitioned(spark, fact_path, merge=True)
+    known = writers.read_evolving(spark, fact_path)
     fact = known.where(F.col("event_date") == day(ds))
     writers.write_slice(ad_daily(fact), agg_path, "event_date", ds)
 
@@ -136,7 +137,7 @@ def run_ads_day(
 
 def read_ads(spark: SparkSession, root: str) -> DataFrame:
     """The ad fact with the columns of all its ages, in contract order."""
-    table = read_partitioned(spark, f"{root}/silver/fact_ad_events", merge=True)
+    table = writers.read_evolving(spark, f"{root}/silver/fact_ad_events")
     return table.select([c for c in KNOWN_COLUMNS if c in table.columns] + ["event_date"])
 
 
@@ -191,8 +192,9 @@ def run_customers_day(
         kept = old.join(new.select("customer_id"), "customer_id", "left_anti")
         return kept.unionByName(new, allowMissingColumns=True)
 
-    writers.upsert_table(spark, silver_path, batch, "customer_id", replace, lambda b: b, buckets)
-    today = writers.read_buckets(spark, silver_path).where(F.col("updated_at") == day(ds))
+    # The rows of the day are those of the batch; the table as a whole is not read for them.
+    today = materialize(batch, "customers-today")
+    writers.upsert_table(spark, silver_path, today, "customer_id", replace, lambda b: b, buckets)
     tiers = access.with_tiers(today, "account_balance", "credit_score")
     gold = access.minimize(
         tiers,

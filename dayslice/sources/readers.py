@@ -54,6 +54,8 @@ def read_csv_checked(
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_LINE)
+        # Else a line is judged by the columns that are selected, not by all its fields.
+        .option("columnPruning", False)
         .csv(path)
         .withColumnsRenamed({c: n for c, n in zip(header, names, strict=True) if c != n})
         .withColumn(FILE, F.col("_metadata.file_path"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,11 @@ def run_available(
     query.awaitTermination()
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that a checkpoint belongs to; batch numbers grow under this id, also over restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def foreach_batch_upsert(
     stream: DataFrame,
     path: str,
@@ -97,17 +103,22 @@ def foreach_batch_upsert(
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     first: Callable[[DataFrame], DataFrame],
     buckets: int = 64,
+    applied: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
-    """Merge each micro-batch into a bucketed table.
+    """Merge each micro-batch into a bucketed table, once.
 
-    `merge(target, batch)` must be repeatable, as upserts and change sets are: a batch that
-    is delivered again after a failure then changes nothing. `first(batch)` is the table
-    made from the first batch. Only the buckets a batch touches are rewritten. With `merge_changes` the
-    batches may come in any order; with `apply_cdc` changes of a key have to come in order from batch to batch.
+    The checkpoint's id and the number of the last batch are stored with the table and decided together with its data
+    (`writers.merge_buckets`), so a batch that is delivered again after a failure is left out, and `merge(target, batch)` may add up.
+    `first(batch)` is the table made from the first batch. Only the buckets a batch touches are rewritten. `applied` is called after
+    each batch. With `merge_changes` the batches may come in any order; with `apply_cdc` changes of a key have to
+    come in order from batch to batch. A checkpoint that is thrown away starts another stream: its batches all apply.
     """
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, key, merge, first, buckets)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        upsert_table(spark, path, batch, key, merge, first, buckets, (query_id(spark, checkpoint), batch_id))
+        if applied is not None:
+            applied(batch_id)
 
     return (
         stream.writeStream.foreachBatch(apply)

@@ -199,6 +199,23 @@ def order_sequence(spark, sf):
     return windows.order_sequence(rows, "customer_id", "order_date", ["order_id"])
 
 
+@query(
+    "order_sequence_split",
+    with_tables(
+        """SELECT order_id, region_id, CAST(order_date AS VARCHAR) AS order_date, row_number() OVER w AS order_no,
+  CAST(order_date - lag(order_date) OVER w AS BIGINT) AS gap_days, row_number() OVER w = 1 AS is_first
+FROM (SELECT order_id, customer_id % 2 AS region_id, CAST(date_trunc('quarter', order_date) AS DATE) AS order_date FROM orders_v)
+WINDOW w AS (PARTITION BY region_id ORDER BY order_date, order_id)""",
+        "orders_v",
+    ),
+)
+def order_sequence_split(spark, sf):
+    """Two entities and a day for each quarter: every (entity, day) is hot and cut into ranges of the order id."""
+    day = F.trunc("order_date", "QUARTER").alias("order_date")
+    rows = R.orders_v(spark, sf).select("order_id", (F.col("customer_id") % 2).alias("region_id"), day)
+    return windows.order_sequence_split(rows, "region_id", "order_date", ["order_id"], hot_rows=100, ranges=8)
+
+
 @query(
     "day_over_day",
     with_tables(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -99,6 +100,35 @@ def csv_rejects(spark, sf):
     return every.groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+@query(
+    "csv_extra_column_rejects",
+    with_tables(
+        """SELECT 'kept' AS kind, COUNT(*) AS n, CAST(SUM(order_id) AS BIGINT) AS ids FROM orders_v
+UNION ALL SELECT 'too few', COUNT(*), NULL FROM orders_v WHERE order_status = 'F'
+UNION ALL SELECT 'too many', COUNT(*), NULL FROM orders_v WHERE order_status = 'P'""",
+        "orders_v",
+    ),
+)
+def csv_extra_column_rejects(spark, sf):
+    """The header has a column that nobody asks for; lines with a field too few or too many are still told from good ones."""
+    path = f"{new_dir(spark, 'csv')}/2001-08-01.csv"
+    orders = R.orders_v(spark, sf)
+    part, no = (F.col("order_id") % 8).alias("part"), F.lit(1).alias("no")
+    fields = ("order_id", "customer_id", "order_status", "amount", "partner")
+    good = orders.select(part, no, F.concat_ws(",", *fields).alias("line"))
+    few = orders.where("order_status = 'F'").select(part, no, F.concat_ws(",", *fields[:4]).alias("line"))
+    many = orders.where("order_status = 'P'").select(part, no, F.concat_ws(",", *fields, F.lit("9")).alias("line"))
+    header = spark.range(8).select(F.col("id").alias("part"), F.lit(0).alias("no"), F.lit(",".join(fields)).alias("line"))
+    body = good.unionByName(few).unionByName(many).unionByName(header).repartition("part").sortWithinPartitions("part", "no")
+    body.drop("no").write.partitionBy("part").text(path)
+    rows, rejects = readers.read_csv_checked(spark, path, _CSV_SCHEMA)
+    # A later select must not change which lines are good.
+    kept = rows.select("order_id").agg(F.lit("kept").alias("kind"), F.count("*").alias("n"), F.sum("order_id").alias("ids"))
+    commas = F.when(F.size(F.split("line", ",")) > len(fields), F.lit("too many")).otherwise(F.lit("too few"))
+    lost = rejects.groupBy(commas.alias("kind")).agg(F.count("*").alias("n"), F.lit(None).cast("bigint").alias("ids"))
+    return kept.unionByName(lost)
+
+
 @query(
     "json_partition_roundtrip",
     """SELECT event_type, COUNT(*) AS n, CAST(SUM(user_id) AS BIGINT) AS users FROM events GROUP BY 1""",
@@ -209,17 +239,63 @@ def compact_files(spark, sf):
     return layout.compact(spark, src, dst).select("n_rows", "stage", "n_files")
 
 
+_ITEM_COLS = "l_orderkey, l_partkey, l_suppkey, l_quantity"
+
+
 @query(
     "clustered_lookup",
-    "SELECT l_partkey, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units FROM lineitem GROUP BY 1",
+    f"SELECT {_ITEM_COLS}, TRUE AS few_files FROM lineitem WHERE l_partkey BETWEEN 40 AND 60",
 )
 def clustered_lookup(spark, sf):
+    """A range of parts, read from the files of a clustered table that can hold it; at most three of sixteen."""
     path = new_dir(spark, "clustered")
-    items = R.table(spark, sf, "lineitem").select("l_partkey", "l_quantity")
-    layout.cluster_by(items, ["l_partkey"], 8).write.parquet(path)
-    return spark.read.parquet(path).groupBy("l_partkey").agg(
-        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("units")
-    )
+    items = R.table(spark, sf, "lineitem").select(*_ITEM_COLS.split(", "))
+    layout.write_ranged(layout.cluster_by(items, ["l_partkey"], 16), path, ["l_partkey"])
+    opened = len(layout.files_for(spark, path, "l_partkey", 40, 60))
+    found = layout.lookup(spark, path, items.schema, "l_partkey", 40, 60)
+    return found.withColumn("few_files", F.lit(opened <= 3))
+
+
+@query(
+    "zorder_lookup",
+    f"""SELECT 'part' AS by, {_ITEM_COLS}, TRUE AS few_files FROM lineitem WHERE l_partkey BETWEEN 40 AND 60
+UNION ALL SELECT 'day', {_ITEM_COLS}, TRUE FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-20'""",
+)
+def zorder_lookup(spark, sf):
+    """One table, looked up by either of two columns. Each lookup opens at most half of its 32 files; a sort by one column opens all for the other."""
+    path = new_dir(spark, "zordered")
+    items = R.table(spark, sf, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    items = items.select(*_ITEM_COLS.split(", "), "l_shipdate")
+    cols = ["l_partkey", "l_shipdate"]
+    layout.write_ranged(layout.zorder(items, cols, 32), path, cols)
+    asked = {"part": ("l_partkey", 40, 60), "day": ("l_shipdate", dt.date(1997, 3, 1), dt.date(1997, 3, 20))}
+    found = []
+    for by, (col, lo, hi) in asked.items():
+        few = F.lit(len(layout.files_for(spark, path, col, lo, hi)) <= 16)
+        rows = layout.lookup(spark, path, items.schema, col, lo, hi).drop("l_shipdate")
+        found.append(rows.select(F.lit(by).alias("by"), "*", few.alias("few_files")))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "compact_small_files",
+    with_tables(
+        """SELECT order_status, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS amount, TRUE AS little_rewritten FROM orders_v GROUP BY 1""",
+        "orders_v",
+    ),
+)
+def compact_small_files(spark, sf):
+    """A slice of many small files beside large ones: only the small ones are rewritten, which are less than half of the bytes."""
+    path = new_dir(spark, "mixed")
+    orders = R.orders_v(spark, sf).select("order_id", "amount", "order_status")
+    large = orders.where("order_id % 5 <> 0")
+    large.coalesce(1).write.partitionBy("order_status").parquet(path)
+    orders.where("order_id % 5 = 0").repartition(12, "order_id").write.mode("append").partitionBy("order_status").parquet(path)
+    biggest = layout.file_stats(spark.read.parquet(path), ["order_status"]).agg(F.max("avg_bytes")).first()[0]
+    report = layout.compact_small(spark, path, "order_status", target=int(biggest))
+    little = report["rewritten_files"] == 36 and 2 * report["rewritten_bytes"] < report["bytes"] and report["new_files"] < 36
+    table = spark.read.schema(orders.schema).parquet(path)
+    return table.groupBy("order_status").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.lit(little).alias("little_rewritten"))
 
 
 @query(
@@ -284,30 +360,44 @@ def _export_rows(spark, sf):
 def _write_exports(spark, sf, root):
     """CSV files per partner folder and, next to each, a file with its MD5."""
     _export_rows(spark, sf).write.partitionBy("folder").option("header", True).csv(root)
-    sums = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(
-        "path", F.md5("content").alias("md5")
-    )
-    for row in sums.collect():
-        out = spark._jvm.org.apache.hadoop.fs.Path(row["path"] + ".md5")
-        stream = out.getFileSystem(spark._jsc.hadoopConfiguration()).create(out)
-        stream.write(bytearray(row["md5"].encode()))
-        stream.close()
+    intake.write_companions(spark, f"{root}/*/*.csv")
 
 
 @query(
     "verify_checksums",
     with_tables(
-        "SELECT partner, FALSE AS bad, COUNT(*) > 0 AS seen FROM market_sales GROUP BY 1", "market_sales"
+        """SELECT partner, COUNT(*) AS sales, 1::BIGINT AS damaged, TRUE AS streamed_alike FROM market_sales GROUP BY 1""", "market_sales"
     ),
 )
 def verify_checksums(spark, sf):
+    """Each partner's export and one file that changed after its checksum was taken: only that one is refused.
+
+    Hashed once as values and once in pieces, as files above 2 GB are.
+    """
     root = new_dir(spark, "checked")
     _write_exports(spark, sf, root)
-    manifest = intake.verify_checksums(spark, f"{root}/*/*.csv")
+    later = _export_rows(spark, sf).groupBy("folder").agg(F.count("*").alias("n"))
+    for text in ("first,sent\n", "later,sent\n"):
+        later.select("folder", F.lit(text).alias("line")).write.mode("overwrite").partitionBy("folder").text(f"{root}-{text[:5]}")
+    damaged = f"{root}-later/*/*.txt"
+    intake.write_companions(spark, f"{root}-first/*/*.txt")
+    _swap_files(spark, f"{root}-first", f"{root}-later")
+    kept = [intake.verify_checksums(spark, glob, limit) for limit in (intake.LARGEST_VALUE, 0) for glob in (f"{root}/*/*.csv", damaged)]
+    whole, streamed = kept[0].unionByName(kept[1]), kept[2].unionByName(kept[3])
+    alike = whole.exceptAll(streamed).isEmpty()
+    good = whole.where("ok").select(F.col("path").alias("source_file"))
+    rows, _ = readers.read_marketplace(spark, root)
+    sales = rows.join(good, "source_file", "left_semi").groupBy("partner").agg(F.count("*").alias("sales"))
     partner = F.regexp_extract("path", r"folder=([^/]+)/", 1)
-    return manifest.groupBy(partner.alias("partner")).agg(
-        (~F.bool_and("ok")).alias("bad"), (F.count("*") > 0).alias("seen")
-    )
+    bad = whole.where("NOT ok").groupBy(partner.alias("partner")).agg(F.count("*").alias("damaged"))
+    return sales.join(bad, "partner").withColumn("streamed_alike", F.lit(alike))
+
+
+def _swap_files(spark, first, later):
+    """The checksums of the first files come to stand beside the later ones, under their names."""
+    sums = spark.read.format("binaryFile").load(f"{first}/*/*.md5").select(F.regexp_extract("path", r"(folder=[^/]+)/", 1).alias("folder"), F.col("content").cast("string").alias("md5"))
+    names = spark.read.format("binaryFile").load(f"{later}/*/*.txt").select(F.regexp_extract("path", r"(folder=[^/]+)/", 1).alias("folder"), "path")
+    intake.put_texts(names.join(sums, "folder").select(F.concat("path", F.lit(".md5")).alias("path"), F.col("md5").alias("text")))
 
 
 @query(

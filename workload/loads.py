@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from dayslice.errors import SchemaDriftError
 from dayslice.functions import columns as C
 from dayslice.operators import load, shape
 from dayslice.operators.dedup import keep_first, keep_latest
@@ -347,3 +348,55 @@ def merge_buckets(spark, sf):
         writers.merge_buckets(spark, path, changes, "user_id", merge, 16)
     whole = writers.read_buckets(spark, path)
     return whole.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "evolved_buckets",
+    with_tables(
+        f"""WITH {_CDC}, first AS (SELECT user_id, event_id, CAST(amount AS DOUBLE) AS amount, op AS kind FROM last WHERE user_id % 2 = 0),
+later AS (SELECT user_id, event_id, CAST(amount AS DOUBLE) AS amount, NULL AS kind FROM last WHERE user_id % 3 = 0)
+SELECT * FROM later
+UNION ALL SELECT * FROM first f WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.user_id = f.user_id)
+UNION ALL SELECT user_id, event_id, CAST(amount AS DOUBLE), NULL FROM tgt t
+  WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.user_id = t.user_id) AND NOT EXISTS (SELECT 1 FROM first f WHERE f.user_id = t.user_id)""",
+        "changes_v",
+    ),
+)
+def evolved_buckets(spark, sf):
+    """A batch with one more column and a narrower id, then one without it, merged into a table of buckets on disk."""
+    path = new_dir(spark, "evolved")
+    tgt, changes = cdc_tables(spark, sf)
+    last = keep_latest(changes, ["user_id"], ["updated_at"])
+    writers.create_buckets(tgt.select("user_id", F.col("event_id").cast("int").alias("event_id"), "amount"), path, "user_id", 16)
+
+    def merge(old, new):
+        return load.upsert_all(old, new, ["user_id"])
+
+    wider = last.where("user_id % 2 = 0").select("user_id", "event_id", "amount", F.col("op").alias("kind"))
+    plain = last.where("user_id % 3 = 0").select("user_id", F.col("event_id").cast("int").alias("event_id"), "amount")
+    for batch in (wider, plain):
+        writers.merge_buckets(spark, path, batch, "user_id", merge)
+    narrowed = last.select("user_id", F.col("event_id").cast("string").alias("event_id"), "amount")
+    try:
+        writers.merge_buckets(spark, path, narrowed, "user_id", merge)
+    except SchemaDriftError:
+        return writers.read_buckets(spark, path)
+    raise AssertionError("a number became text without a refusal")
+
+
+@query(
+    "evolved_slices",
+    with_tables(
+        """SELECT order_id, CAST(amount AS DOUBLE) AS amount, CASE WHEN order_date >= DATE '1998-01-01' THEN partner END AS partner,
+  CAST(date_trunc('year', order_date) AS DATE)::VARCHAR AS year FROM orders_v""",
+        "orders_v",
+    ),
+)
+def evolved_slices(spark, sf):
+    """Years written one after the other; a column is added on the way, and old slices give NULL for it."""
+    path = new_dir(spark, "slices")
+    orders = R.orders_v(spark, sf).withColumn("year", F.trunc("order_date", "YEAR"))
+    old = orders.where(F.col("order_date") < C.day("1998-01-01"))
+    writers.write_evolving(old.select("order_id", "amount", "year"), path, "year")
+    writers.write_evolving(orders.join(old.select("order_id"), "order_id", "left_anti").select("order_id", "amount", "partner", "year"), path, "year")
+    return writers.read_evolving(spark, path)

@@ -9,6 +9,8 @@ from dayslice.operators import joins
 from dayslice.operators.reconcile import scalars
 from dayslice.operators.shape import top_k
 from dayslice.plans import ads, inventory, orders as order_plans
+from dayslice.session import new_dir
+from dayslice.sources.writers import write_slices
 
 from . import recipes as R
 from .recipes import with_tables
@@ -60,6 +62,28 @@ def ad_daily_approx(spark, sf):
     )
 
 
+@query(
+    "weekly_reach",
+    with_tables(
+        """SELECT ad_id, CAST(week AS VARCHAR) AS week, COUNT(DISTINCT user_id) AS exact_reach, COUNT(DISTINCT event_date) AS days, TRUE AS reach_is_close
+FROM (SELECT *, CAST(date_trunc('week', event_date) AS DATE) AS week FROM fact_ads) GROUP BY 1, 2""",
+        "fact_ads",
+    ),
+)
+def weekly_reach(spark, sf):
+    """Reach of each ad and week from stored daily sketches, beside the exact one: within 2.5 % (three standard errors), or one user."""
+    path = new_dir(spark, "sketches")
+    fact = ads.fact_ad_events(R.ad_raw(spark, sf))
+    write_slices(ads.reach_sketches(fact), path, "event_date")
+    stored = spark.read.parquet(path).withColumn("week", F.trunc("event_date", "WEEK"))
+    far = ads.reach(stored, "1900-01-01", "2999-12-31", ("ad_id", "week"))
+    exact = fact.withColumn("week", F.trunc("event_date", "WEEK")).groupBy("ad_id", "week").agg(F.count_distinct("user_id").alias("exact_reach"))
+    off = F.abs(F.col("reach") - F.col("exact_reach"))
+    return far.join(exact, ["ad_id", "week"]).select(
+        "ad_id", "week", "exact_reach", "days", (off <= F.greatest(F.lit(1.0), F.col("exact_reach") * 0.025)).alias("reach_is_close")
+    )
+
+
 @query(
     "campaign_metrics",
     with_tables(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayslice.functions import columns as C
-from dayslice.operators import shape
+from dayslice.operators import numbering, shape
 from dayslice.sources import catalog
 from dayslice.sources.readers import date_series
 
@@ -375,3 +375,25 @@ def time_functions(spark, sf):
         F.date_format(ts + F.make_interval(secs=F.lit(90)), "yyyy-MM-dd HH:mm:ss").alias("later"),
         F.date_sub(F.to_date(ts), 1).alias("day_before"),
     )
+
+
+@query(
+    "ranked_orders",
+    with_tables("SELECT order_id, CAST(amount AS DOUBLE) AS amount, row_number() OVER (ORDER BY amount DESC, order_id) AS rank FROM orders_v", "orders_v"),
+)
+def ranked_orders(spark, sf):
+    """The place of every order by amount, without one task for all."""
+    orders = R.orders_v(spark, sf).select("order_id", "amount")
+    return numbering.number_in_order(orders, [F.desc("amount"), "order_id"])
+
+
+@query(
+    "sampled_customers",
+    """SELECT c_custkey AS customer_id, draw < 0.05 AS in_small FROM (
+  SELECT c_custkey, CAST(('0x' || substr(md5('7|' || c_custkey), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS draw FROM customer) WHERE draw < 0.2""",
+)
+def sampled_customers(spark, sf):
+    """A fifth of the customers by a seeded draw, and whether a twentieth would hold them too."""
+    customers = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"))
+    drawn = numbering.sample_by_key(customers, ["customer_id"], 0.2, seed=7)
+    return drawn.withColumn("in_small", numbering.draw(["customer_id"], 7) < 0.05)

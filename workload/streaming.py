@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from dayslice.functions import columns as C
@@ -162,3 +163,40 @@ def stream_cdc(spark, sf):
     ).awaitTermination()
     table = load.live(read_buckets(spark, path))
     return table.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+class _Stopped(RuntimeError):
+    pass
+
+
+@query(
+    "stream_counter_upsert",
+    "SELECT user_id, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1",
+)
+def stream_counter_upsert(spark, sf):
+    """Counters that add up over micro-batches. The stream dies after the write of its second batch, which is then delivered again."""
+    root, path, state = new_dir(spark, "landed"), new_dir(spark, "counters"), new_dir(spark, "counters-state")
+    events = R.table(spark, sf, "events").select("event_id", "user_id", C.money("value").alias("value"))
+    # Four files, in four batches.
+    events.repartitionByRange(4, "event_id").write.parquet(f"{root}/all")
+    stream = streams.stream_landing(spark, f"{root}/*", events.schema, files_per_batch=1)
+
+    def count(batch):
+        return batch.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").cast("decimal(28,2)").alias("total"))
+
+    def merge(old, new):
+        return old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total"))
+
+    def die(batch_id):
+        if batch_id == 1:
+            raise _Stopped("after the write of batch 1")
+
+    for applied in (die, None):
+        run = streams.foreach_batch_upsert(
+            stream, path, state, "user_id", lambda old, new: merge(old, count(new)), count, 8, applied
+        )
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            assert applied is not None
+    return read_buckets(spark, path)

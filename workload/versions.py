@@ -123,6 +123,49 @@ def join_as_of(spark, sf):
     return joined.select("order_id", "customer_id", "amount", "tier", "version")
 
 
+@query(
+    "join_as_of_sorted",
+    with_tables(
+        f"""WITH {_CHANGES} SELECT o.order_id, o.customer_id, CAST(o.amount AS DOUBLE) AS amount, d.tier, d.version
+FROM orders_v o LEFT JOIN dim d ON d.customer_id = o.customer_id
+  AND o.order_date BETWEEN d.effective_date AND d.expiration_date""",
+        "snapshots_v", "orders_v",
+    ),
+)
+def join_as_of_sorted(spark, sf):
+    """By one sorted run for each customer; customers of many orders are cut into ranges of time."""
+    joined = joins.join_as_of_sorted(
+        R.orders_v(spark, sf), materialize(closed_dim(spark, sf), "dim"), ["customer_id"],
+        "order_date", "effective_date", "expiration_date", hot_rows=20,
+    )
+    return joined.select("order_id", "customer_id", "amount", "tier", "version")
+
+
+_CLOSING = """days AS (SELECT d, lead(d) OVER (ORDER BY d) AS next_day FROM (SELECT DISTINCT snapshot_date AS d FROM seen)),
+marked AS (SELECT s.customer_id, s.tier, s.snapshot_date, d.next_day,
+    lag(s.tier) OVER w AS prev, lag(d.next_day) OVER w AS expected
+  FROM seen s JOIN days d ON d.d = s.snapshot_date WINDOW w AS (PARTITION BY s.customer_id ORDER BY s.snapshot_date)),
+numbered AS (SELECT *, SUM(CASE WHEN expected = snapshot_date AND tier IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END)
+    OVER (PARTITION BY customer_id ORDER BY snapshot_date) AS version FROM marked)"""
+
+
+@query(
+    "scd2_from_snapshots_closing",
+    with_tables(
+        f"""WITH seen AS (SELECT * FROM snapshots_v WHERE (customer_id + year(snapshot_date)) % 4 <> 0), {_CLOSING}
+SELECT customer_id, MAX(tier) AS tier, CAST(MIN(snapshot_date) AS VARCHAR) AS effective_date,
+  CAST(CASE WHEN MAX(snapshot_date) = (SELECT MAX(d) FROM days) THEN DATE '9999-12-31' ELSE CAST(MAX(next_day) - INTERVAL 1 DAY AS DATE) END AS VARCHAR) AS expiration_date,
+  MAX(snapshot_date) = (SELECT MAX(d) FROM days) AS is_current, CAST(version AS BIGINT) AS version
+FROM numbered GROUP BY customer_id, version""",
+        "snapshots_v",
+    ),
+)
+def scd2_from_snapshots_closing(spark, sf):
+    """Customers are left out of one snapshot in four: their versions end, and start anew when they come back."""
+    seen = R.snapshots_v(spark, sf).where((F.col("customer_id") + F.year("snapshot_date")) % 4 != 0)
+    return scd2.scd2_from_snapshots_closing(seen, ["customer_id"], ["tier"])
+
+
 @query(
     "join_current",
     with_tables(
