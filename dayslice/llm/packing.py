@@ -1,7 +1,7 @@
 """Packs token runs into sequences of a fixed length: bounded-space online best fit.
 
 Texts are encoded once and only the lengths travel. Pieces are dealt at random, by a hash of their
-place in the input, into groups of some thousand; each group is packed by itself, the longest piece first.
+place in the input, into groups of some thousand; each group is packed by itself, in the order in which the pieces come.
 A fixed number of bins is open at a time. A bitset with one bit for each amount of free space finds the
 fullest bin that still takes a piece; when one bin too many is open, the fullest closes.
 """
@@ -89,7 +89,8 @@ def _pieces(definition, end_id: int, limit: int):
 
 def _pack_group(capacity: int, open_bins: int):
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "task", "serial"], ascending=[False, True, True])
+        # Online: in the order of the input, which a task that runs again must find again.
+        group = group.sort_values(["task", "serial"])
         bins = BestFit(capacity, open_bins)
         places = [bins.add(n) for n in group["length"].tolist()]
         first = int(group["bucket"].iloc[0]) << 32

@@ -81,15 +81,37 @@ def ranges(parts: int = PARTS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def trie_links(
+def trie_links(values: np.ndarray, budget: int, start: np.ndarray, end: np.ndarray, bit: int = BITS - 1) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of `trie_pairs` at once, for small groups."""
+    found = list(trie_pairs(values, budget, start, end, bit))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+
+
+def trie_roots(values: np.ndarray, budget: int, start: np.ndarray, end: np.ndarray, bit: int = BITS - 1) -> np.ndarray:
+    """Least member of each value's component over the pairs of `trie_pairs`.
+
+    Each piece of pairs is folded into the components so far and dropped, so memory follows the number of values and not that of
+    their pairs: a family of n values that are all alike has n * n / 2 of these.
+    """
+    label = np.arange(len(values))
+    for a, b in trie_pairs(values, budget, start, end, bit):
+        a, b = label[a], label[b]
+        apart = a != b
+        if apart.any():
+            # The pairs are between roots now; what pointed to a root follows it.
+            label = roots(len(values), a[apart], b[apart])[label]
+    return label
+
+
+def trie_pairs(
     values: np.ndarray, budget: int, start: np.ndarray, end: np.ndarray, bit: int = BITS - 1
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with i < j of distinct unsigned values in one of the tries, that differ in 1 to `budget` bits.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) with i < j of distinct unsigned values in one of the tries, that differ in 1 to `budget` bits, in pieces.
 
     A trie node is a range of the sorted `values` whose upper bits are equal; `start` and `end` are the
-    tries' roots, `bit` the first bit below them. The work list is cut into pieces, so memory is bounded.
+    tries' roots, `bit` the first bit below them. The work list is a stack of pieces of at most FRONTIER node pairs, looked at depth
+    first: each of the bits leaves a few pieces on it, so it is bounded by their number and not by that of the pairs.
     """
-    done_a, done_b = [], []
     # Node pairs: two ranges, differing bits so far, the bit to look at next.
     work = [(start, end, start, end, np.zeros(len(start), dtype=np.int8), bit)]
     while work:
@@ -99,16 +121,15 @@ def trie_links(
         if not len(a0):
             continue
         if bit < 0:
-            done_a.append(a0)
-            done_b.append(b0)
+            yield a0, b0
             continue
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():
             # Two leaves: count the bits that are left at once.
             x, y = a0[single], b0[single]
             near = np.bitwise_count(values[x] ^ values[y]) <= budget
-            done_a.append(x[near])
-            done_b.append(y[near])
+            if near.any():
+                yield x[near], y[near]
             a0, a1, b0, b1, wrong = a0[~single], a1[~single], b0[~single], b1[~single], wrong[~single]
             if not len(a0):
                 continue
@@ -125,9 +146,6 @@ def trie_links(
         stacked = [np.concatenate([p[k] for p in pairs]) for k in range(5)]
         for i in range(0, len(stacked[0]), FRONTIER):
             work.append((*(s[i : i + FRONTIER] for s in stacked), bit - 1))
-    if not done_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(done_a), np.concatenate(done_b)
 
 
 def _split(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
@@ -168,8 +186,7 @@ def _link_runs(budget: int, free_bits: int):
             for table in np.unique(rows[0]):
                 low, high = np.searchsorted(rows[0], [table, table + np.uint64(1)])
                 own = more & (start >= low) & (start < high)
-                pairs = trie_links(rows[1, low:high], budget, start[own] - low, ends[own] - low, free_bits - 1)
-                label[low:high] = low + roots(int(high - low), *pairs)
+                label[low:high] = low + trie_roots(rows[1, low:high], budget, start[own] - low, ends[own] - low, free_bits - 1)
             signed = rows[2].view(np.int64)
             # The least fingerprint stands for its component, whatever table found it, so links repeat and merge.
             least = np.full(len(label), np.iinfo(np.int64).max)

@@ -19,13 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import id_bucket, ship, slices, whole_text
 
 LABELLED_ROWS = 20_000
-TRAINING_TEXTS = 4_000
+#: A feature is learned from a posterior mass of so many toxic texts, and from a share of so many times the average.
+LEAST_MASS, LEAST_SHARE = 2.0, 4.0
+TRAINING_TEXTS = 8_000
 THRESHOLD = 0.3
 #: Telling words and beginnings: at most so many, each in several toxic rows and far more often there than elsewhere.
 LEXICON = 400
@@ -213,42 +216,65 @@ def _sampled(entries):
         vote, known = voter(entries.value), Remembered(_hashes)
         for rows in slices(batches, "text", SLICE_BYTES):
             found = [{h for w in set(t.lower().split()) for h in known[w]} for t in rows["text"]]
-            data = [np.sort(np.fromiter(f, dtype=np.uint64, count=len(f))).tobytes() for f in found]
-            yield pa.RecordBatch.from_pydict({"votes": pa.array([vote(t) for t in rows["text"]], pa.int64()), "features": pa.array(data, pa.binary())})
+            data = [np.sort(np.fromiter(f, dtype=np.uint64, count=len(f))).view(np.int64) for f in found]
+            ends = np.cumsum([0, *map(len, data)]).astype(np.int32)
+            names = [xxhash.xxh64_intdigest(f"{d}|{m}") - (1 << 63) for d, m in zip(rows["_doc"], rows["_mark"], strict=True)]
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *data])))
+            yield pa.RecordBatch.from_pydict({"n": pa.array(names, pa.int64()), "votes": pa.array([vote(t) for t in rows["text"]], pa.int64()), "features": listed})
 
     return run
 
 
-def train(samples: list[np.ndarray], target: np.ndarray, rounds: int = 300, least: float = 2.0, lift: float = 4.0) -> tuple[dict[int, float], float]:
-    """Logistic regression of soft labels on the presence of features that lean to the toxic class: (weights, bias)."""
+def fit(row: np.ndarray, column: np.ndarray, features: int, target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression of soft labels on the presence of features: (weights, bias); `row` and `column` are the ones of the matrix."""
     share = float(np.clip(target.mean() if len(target) else 0.0, 1e-6, 1 - 1e-6))
     bias = float(np.log(share / (1 - share)))
-    if not samples or target.sum() < least:
-        return {}, bias
-    every = np.concatenate(samples)
-    row = np.repeat(np.arange(len(samples), dtype=np.int32), [len(s) for s in samples])
-    order = np.argsort(every)
-    in_order = every[order]
-    start = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
-    mass = np.add.reduceat(target[row[order]], start)
-    frequency = np.diff(start, append=len(every))
-    distinct = in_order[start][(mass >= least) & (mass / frequency >= np.minimum(lift * share, 0.9))]
-    del order, in_order, start, mass, frequency
-    if not len(distinct):
-        return {}, bias
-    column = np.minimum(np.searchsorted(distinct, every), len(distinct) - 1)
-    used = distinct[column] == every
-    row, column = row[used], column[used]
-    weight, squares, square = np.zeros(len(distinct)), np.full(len(distinct), 1e-8), 1e-8
-    for _ in range(rounds):
-        margin = np.bincount(row, weights=weight[column], minlength=len(samples)) + bias
+    weight, squares, square = np.zeros(features), np.full(features, 1e-8), 1e-8
+    for _ in range(rounds if features else 0):
+        margin = np.bincount(row, weights=weight[column], minlength=len(target)) + bias
         error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target
-        slope = np.bincount(column, weights=error[row], minlength=len(distinct)) + 0.05 * weight
+        slope = np.bincount(column, weights=error[row], minlength=features) + 0.05 * weight
         squares += slope**2
         square += error.sum() ** 2
         weight -= 0.3 * slope / np.sqrt(squares)
         bias -= 0.3 * float(error.sum()) / np.sqrt(square)
-    return dict(zip(distinct.tolist(), weight.tolist(), strict=True)), bias
+    return weight, bias
+
+
+def leaning(sample: DataFrame, share: float, least: float = LEAST_MASS, lift: float = LEAST_SHARE) -> np.ndarray:
+    """Features of the sample (n, chance, features) that lean to the toxic class, ascending; mass and frequency are summed in Spark."""
+    mass = sample.select(F.explode("features").alias("feature"), "chance").groupBy("feature").agg(F.sum(F.round("chance", 9).cast("decimal(20,9)")).cast("double").alias("mass"), F.count("*").alias("n"))
+    kept = mass.where((F.col("mass") >= least) & (F.col("mass") / F.col("n") >= min(lift * share, 0.9)))
+    return np.sort(kept.select("feature").toArrow().column("feature").to_numpy())
+
+
+def _rows_of(features):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = features.value
+        for batch in batches:
+            ends = np.concatenate([[0], np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))])
+            own = pa.concat_arrays([batch.column(1)]).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            used = known[at] == own if len(known) else np.zeros(len(own), bool)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[used])), pa.array(at[used].astype(np.int32))], names=["n", "feature"])
+
+    return run
+
+
+def train(spark: SparkSession, sample: DataFrame) -> tuple[dict[int, float], float]:
+    """(weight of each leaning feature, bias) for a written sample (n, chance, features).
+
+    The driver gets the leaning features and, for each text of the sample, which of them it has; the features of whole texts stay in Spark.
+    """
+    rows = sample.select("n", "chance").orderBy("n").toArrow()
+    numbers, target = rows.column("n").to_numpy(), rows.column("chance").to_numpy()
+    share = float(target.mean()) if len(target) else 0.0
+    features = leaning(sample, share) if target.sum() >= LEAST_MASS else np.zeros(0, np.int64)
+    ones = sample.select("n", "features").mapInArrow(_rows_of(spark.sparkContext.broadcast(features)), "n bigint, feature int").orderBy("n", "feature").toArrow()
+    row = np.searchsorted(numbers, ones.column("n").to_numpy())
+    weight, bias = fit(row, ones.column("feature").to_numpy(), len(features), target)
+    return dict(zip(features.view(np.uint64).tolist(), weight.tolist(), strict=True)), bias
 
 
 def _scored(model, kept: list[str], text: str):
@@ -310,17 +336,21 @@ def score(
     for r in gold_rows:
         gold[at[r.votes], int(r.toxic > 0)] += r["count"]
     counts = np.maximum(counts, gold.sum(1))
-    chosen = plain.where(~F.col("_held")).select("_doc").orderBy(F.xxhash64("_doc"), "_doc").limit(training_texts)
-    chosen = chosen.distinct().withColumnRenamed("_doc", "_id")
-    texts = plain.join(F.broadcast(chosen), F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text").limit(2 * training_texts)
-    sample = texts.mapInArrow(_sampled(entries), "votes bigint, features binary").toArrow()
+    # The rows of the least hashes of id and text, so that many rows of one id, or without one, are no block; alike rows count once.
+    marked = plain.where(~F.col("_held")).withColumn("_mark", F.xxhash64("text"))
+    least = marked.select("_doc", "_mark").orderBy(F.xxhash64("_doc", "_mark"), "_doc", "_mark").limit(training_texts)
+    least = least.distinct().select(F.col("_doc").alias("_id"), F.col("_mark").alias("_chosen"))
+    texts = marked.join(F.broadcast(least), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_chosen")), "left_semi")
+    seen = texts.select("_doc", "_mark", "text").mapInArrow(_sampled(entries), "n bigint, votes bigint, features array<bigint>").dropDuplicates(["n"])
+    sample = materialize(seen, "toxicity-sample")
+    met = np.array(sorted(r.votes for r in sample.select("votes").distinct().collect()), dtype=np.int64)
     if len(votes) and entries.value:
-        model = LabelModel(votes, counts, gold)
-        target = model.toxic(sample.column("votes").to_numpy().astype(np.int64))
+        chance = LabelModel(votes, counts, gold).toxic(met)
     else:
-        target = np.full(sample.num_rows, gold[:, 1].sum() / max(1.0, gold.sum()))
-    arrays = [np.frombuffer(b, dtype=np.uint64) for b in sample.column("features").to_pylist()]
-    learned = spark.sparkContext.broadcast(train(arrays, target))
+        chance = np.full(len(met), gold[:, 1].sum() / max(1.0, gold.sum()))
+    # A row for each combination of votes, at most 2^VOTERS.
+    chances = spark.createDataFrame(list(zip(met.tolist(), chance.tolist(), strict=True)), "votes bigint, chance double")
+    learned = spark.sparkContext.broadcast(train(spark, sample.join(F.broadcast(chances), "votes").select("n", "chance", "features")))
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted") and (keep_text or c != text)]
     # A text that is kept travels once.
     own_text = text if keep_text else "_text"

@@ -96,6 +96,19 @@ def test_trie_finds_every_pair_once(values, budget):
     assert found == want
 
 
+def test_a_family_of_copies_is_folded_piece_by_piece(monkeypatch):
+    """Many values within the budget of each other: pieces of pairs come and go, components stay."""
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    values = np.array(sorted({1 << a | 1 << b for a in range(40) for b in range(a)}), dtype=np.uint64)
+    largest = 0
+    for a, _ in simhash.trie_pairs(values, 4, np.array([0]), np.array([len(values)])):
+        largest = max(largest, len(a))
+    assert largest <= 64 * 4
+    assert set(simhash.trie_roots(values, 4, np.array([0]), np.array([len(values)])).tolist()) == {0}
+    apart = np.array([0, 3, 15 << 40, 15 << 40 | 1, (1 << 64) - 1], dtype=np.uint64)
+    assert simhash.trie_roots(apart, 2, np.array([0]), np.array([5])).tolist() == [0, 0, 2, 2, 4]
+
+
 def test_components_of_a_long_chain_and_of_none(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)]
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

@@ -6,7 +6,9 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from dayslice.llm import ppm, toxicity
@@ -163,3 +165,56 @@ def test_label_model_does_not_count_copies_of_a_voter_as_evidence():
     strong = model.toxic(np.array([0b0000111]))[0]
     assert copies_only < 0.3 < 0.9 < strong
     assert sum(model.parent[j] in (3, 4, 5, 6) for j in (3, 4, 5, 6)) >= 3
+
+
+def test_posterior_equals_plain_products():
+    rng = np.random.default_rng(6)
+    masks = np.unique(rng.integers(0, 1 << toxicity.VOTERS, 60))
+    counts = rng.integers(1, 50, len(masks)).astype(float)
+    gold = np.stack([np.minimum(counts, rng.integers(0, 4, len(masks))) * (i == (masks & 1)) for i in (0, 1)], axis=1).astype(float)
+    model = toxicity.LabelModel(masks, counts, gold)
+    for mask, got in zip(masks.tolist(), model.toxic(masks), strict=True):
+        chance = []
+        for y in (0, 1):
+            p = float(model.prior[y])
+            for j in range(toxicity.VOTERS):
+                above = mask >> int(model.parent[j]) & 1 if model.parent[j] >= 0 else 0
+                on = float(model.rate[y, above, j])
+                p *= on if mask >> j & 1 else 1 - on
+            chance.append(p)
+        assert got == pytest.approx(chance[1] / sum(chance), rel=1e-9)
+
+
+def test_training_equals_a_plain_regression(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in range(60):
+        bad = n % 6 == 0
+        own = sorted({int(x) for x in rng.integers(0, 30, 8)} | ({100, 101} if bad else set()) | ({-5} if n % 3 == 0 else set()))
+        rows.append((n * 7 - 50, 0.9 if bad else 0.05, own))
+    sample = spark.createDataFrame(rows, "n bigint, chance double, features array<bigint>").repartition(3)
+    weights, bias = toxicity.train(spark, sample)
+    share = sum(c for _, c, _ in rows) / len(rows)
+    mass = {f: [c for _, c, own in rows if f in own] for f in {f for _, _, own in rows for f in own}}
+    telling = sorted(f for f, c in mass.items() if sum(c) >= toxicity.LEAST_MASS and sum(c) / len(c) >= min(toxicity.LEAST_SHARE * share, 0.9))
+    assert {100, 101} <= set(telling) and sorted(w - (1 << 64) if w >> 63 else w for w in weights) == telling
+    # The plain form: a dense matrix and the same steps.
+    x, t = np.array([[f in own for f in telling] for _, _, own in rows], dtype=float), np.array([c for _, c, _ in rows])
+    w, b, squares, square = np.zeros(len(telling)), math.log(share / (1 - share)), np.full(len(telling), 1e-8), 1e-8
+    for _ in range(300):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - t
+        slope = x.T @ error + 0.05 * w
+        squares, square = squares + slope**2, square + error.sum() ** 2
+        w, b = w - 0.3 * slope / np.sqrt(squares), b - 0.3 * error.sum() / math.sqrt(square)
+    assert [weights[f % (1 << 64)] for f in telling] == pytest.approx(w.tolist(), abs=1e-6) and bias == pytest.approx(b, abs=1e-6)
+
+
+def test_score_is_the_sum_of_the_weights_of_distinct_features(spark):
+    texts = ["Bad word here", "bad bad BAD", "", None, "nothing"]
+    frame_of = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    weights = {xxhash.xxh64_intdigest(f.encode()): 0.5 + i for i, f in enumerate(sorted(toxicity.features("bad")))}
+    model = spark.sparkContext.broadcast((weights, -1.0))
+    got = {r.doc_id: r.score for r in frame_of.mapInArrow(toxicity._scored(model, ["doc_id"], "text"), "doc_id bigint, score double").collect()}
+    for i, t in enumerate(texts):
+        found = {xxhash.xxh64_intdigest(f.encode()) for w in (t or "").lower().split() for f in toxicity.features(w)}
+        assert got[i] == pytest.approx(1 / (1 + math.exp(1.0 - sum(weights[h] for h in found if h in weights))))

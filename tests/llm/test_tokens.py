@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,6 +143,18 @@ def test_best_fit_takes_the_fullest_open_bin(lengths, open_bins):
             closed.add(gone[0])
 
 
+@settings(max_examples=30, deadline=None)
+@given(lengths=st.lists(st.integers(1, 20), min_size=1, max_size=60), order=st.randoms())
+def test_groups_are_packed_in_the_order_of_the_input(lengths, order):
+    rows = [(i, 0, 0, n, 0, i // 7, i % 7, 3) for i, n in enumerate(lengths)]
+    bins = packing.BestFit(20, 4)
+    want = {i: bins.add(n) for i, n in enumerate(lengths)}
+    order.shuffle(rows)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "serial", "bucket"]
+    got = packing._pack_group(20, 4)(pd.DataFrame(rows, columns=names))
+    assert {r.doc_id: (r.sequence_id - (3 << 32), r.offset) for r in got.itertuples()} == want
+
+
 @pytest.fixture(scope="module")
 def proto():
     with open(PIECES, "rb") as file:
@@ -151,7 +164,7 @@ def proto():
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT, seed=st.integers(0, 1 << 40), document=st.integers(-5, 1 << 62))
 def test_dropout_decodes_without_loss(proto, text, seed, document):
-    own = dropout.segmenter(proto, 7, 0.5, 3)
+    own = dropout.segmenter(proto, 7, 0.5)
     own.seed = seed
     own.fresh, own.old = [{} for _ in range(3)], [{} for _ in range(3)]
     ids = np.frombuffer(own.encode(text, document), dtype="<u4")
@@ -161,17 +174,17 @@ def test_dropout_decodes_without_loss(proto, text, seed, document):
 def test_without_dropout_the_ids_are_the_library_s(proto):
     import sentencepiece
 
-    library, own = sentencepiece.SentencePieceProcessor(model_proto=proto), dropout.Segmenter(proto, 0, 0.0, 1)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=proto), dropout.Segmenter(proto, 0, 0.0)
     for text in ["", " ", "  a   b ", "x\ty\nz", "日本 𝒳 \x00", "<s> </s> <0x0A>", "a" * 300, *(t for _, t in documents() if t and "▁" not in t)]:
         assert np.frombuffer(own.encode(text, 3), "<u4").tolist() == library.encode(text)
     # Both ways to run the agenda skip alike.
-    skipping = dropout.Segmenter(proto, 3, 0.3, 1)
+    skipping = dropout.Segmenter(proto, 3, 0.3)
     for text in {w for _, t in documents() for w in (t or "").split() if len(w) <= dropout.SCANNED}:
         assert skipping._scan(list(text), 12345) == skipping._agenda(list(text), 12345)
 
 
 def test_dropout_share_varies_and_repeats(spark, proto):
-    own = dropout.Segmenter(proto, 3, 0.2, 4)
+    own = dropout.Segmenter(proto, 3, 0.2)
     skips = [own._skips(own._key(f"w{i}", i % 4), i % 9, 300 + i) for i in range(20_000)]
     assert 0.18 < sum(skips) / len(skips) < 0.22
     first = dropout.encode(frame(spark), PIECES, seed=5, check=True).collect()
