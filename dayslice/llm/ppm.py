@@ -362,7 +362,7 @@ def _score_shards(shards: int, short):
                     per_key, doc, count, n = _pairs_of(parts)
                     log = model.log10(np.cumsum(unsqueeze(parts[0], "<u8")))
                     sums = np.bincount(doc, weights=np.repeat(log, per_key) * count, minlength=n)
-                    out.append(_row(shard, MODEL, chunk, sums.astype("<f4").tobytes()))
+                    out.append(_row(shard, MODEL, chunk, sums.astype("<f8").tobytes()))
                 else:
                     per_key, doc, count, n = _pairs_of(parts)
                     seen = np.array([words.get(w, 0) for w in words_of(parts[0])], dtype=np.float64)
@@ -410,7 +410,7 @@ def _rows_of_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     score, base, n_known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
     for kind, payload in sorted(zip(pdf["kind"], pdf["payload"], strict=True)):
         if kind == MODEL:
-            score += np.frombuffer(payload, dtype="<f4")
+            score += np.frombuffer(payload, dtype="<f8")
         elif kind == BASE:
             log, count = (np.frombuffer(b, dtype="<f8") for b in parted(payload))
             base += log

@@ -31,7 +31,8 @@ SLICE_BYTES = 2 << 20
 RANGES = 4
 SKETCHED = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, jaccard_edited double, jaccard_next double"
+    "near_edited double, near_next double, jaccard_edited double, jaccard_next double, "
+    "compared_edited int, compared_next int"
 )
 _white = np.zeros(256, dtype=bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -125,8 +126,16 @@ class Sketch:
         a, b = self.hashes[self.hashes <= limit], other.hashes[other.hashes <= limit]
         return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
 
+    def compared(self, other: "Sketch") -> int:
+        """How many of this set's hashes lie below both limits: what `contained` rests on. At 0 it says nothing."""
+        return self._common(other)[1]
+
     def contained(self, other: "Sketch") -> float:
-        """Estimated share of this set that is in the other; two sets without shingles are alike."""
+        """Estimated share of this set that is in the other; two sets without shingles are alike.
+
+        Against a much longer text only hashes below that text's limit can be compared: of n shingles none is left with a chance of
+        (1 - 1/SCALE)^n, and the answer is then 0.0 without evidence; `compared` tells.
+        """
         common, own, _ = self._common(other)
         if not len(self.hashes):
             return float(not len(other.hashes))
@@ -203,6 +212,8 @@ def _compare(words: int, scale: int, least: int):
                     "near_next": [p[2].contained(p[4]) for p in pairs],
                     "jaccard_edited": [p[2].jaccard(s) for p, s in zip(pairs, new, strict=True)],
                     "jaccard_next": [p[2].jaccard(p[4]) for p in pairs],
+                    "compared_edited": pa.array([p[2].compared(s) for p, s in zip(pairs, new, strict=True)], pa.int32()),
+                    "compared_next": pa.array([p[2].compared(p[4]) for p in pairs], pa.int32()),
                 }
             )
 
@@ -231,7 +242,8 @@ def fingerprint(
 
     The next text is that of the next smaller id, after the smallest id that of the largest; rows with one id are
     ordered by a hash of their text, null ids come last, and a single row is its own successor. `near_*` is the
-    estimated share of the text's shingles in the other text, `jaccard_*` that of all shingles of both. A null text is
+    estimated share of the text's shingles in the other text, `jaccard_*` that of all shingles of both; `compared_*` is the number of the
+    text's hashes that the first rests on (0: no evidence, as for a text of few words against a long one). A null text is
     empty. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession

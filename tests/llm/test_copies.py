@@ -203,3 +203,14 @@ def test_sketches_merge_and_compare_unequal_sizes(monkeypatch):
     whole = [s.text() for s in sketch.sketches([small, large])]
     monkeypatch.setattr(sketch, "SLICE_BYTES", 500)
     assert [s.text() for s in sketch.sketches([small, large])] == whole
+
+
+def test_short_texts_tell_when_nothing_was_compared():
+    whole = [f"w{i}" for i in range(5000)]
+    long_one = " ".join(whole)
+    texts = [" ".join(whole[7 * i : 7 * i + 9]) for i in range(200)]
+    big = sketch.sketches([long_one])[0]
+    found = [(s.compared(big), s.contained(big)) for s in sketch.sketches(texts)]
+    # All are contained: with evidence the answer is 1, without it is 0 and says so.
+    assert {c for n, c in found if n} == {1.0} and {c for n, c in found if not n} == {0.0}
+    assert 0.2 < sum(1 for n, _ in found if not n) / 200 < 0.8 and len(long_one) > 20_000

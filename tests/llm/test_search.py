@@ -7,7 +7,7 @@ import pytest
 
 from dayslice.llm import mtree
 
-SCHEMA = "vec_id bigint, embedding array<float>, label int, score double, rank int, shard string"
+SCHEMA = "vec_id bigint, embedding array<double>, label int, score double, rank int, shard string"
 
 
 def rows_of(n=700, width=8, seed=3):
@@ -28,6 +28,16 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, 0.5, 3, "s") for i, v in rows], SCHEMA).repartition(4)
 
 
+@pytest.mark.parametrize("size", [1e4, 1e5, 1e7, 1e30])
+def test_large_components_are_exact(spark, monkeypatch, size):
+    """Products beyond doubles and beyond 64 bits; a score that no long holds comes back as null, in its right place."""
+    monkeypatch.setattr(mtree, "SHARD_VECTORS", 128)
+    rows = [(i, None if v is None else [None if x is None else x * size for x in v]) for i, v in rows_of(300)]
+    got = [tuple(r) for r in mtree.top_k(frame(spark, rows)).collect()]
+    want = [(*r[:3], r[3] if abs(r[3]) < 1 << 63 else None) for r in brute(rows, 20)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def brute(rows, k):
     sound = {}
     for i, v in rows:
