@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,18 @@ def session_of(ts: str, gap: str) -> Column:
     return F.session_window(ts, gap)
 
 
+@contextmanager
+def local_sessions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside merge the rows of a session in their own task before the shuffle: for few or hot keys."""
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_metrics(
     df: DataFrame,
     ts: str,

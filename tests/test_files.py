@@ -16,6 +16,8 @@ from dayslice.plans.orders import category_revenue, state_gmv, top_order_per_cus
 from dayslice.session import shared_dir, shuffle_partitions
 from dayslice.sources import catalog, intake, readers, shipments, writers
 
+from dayslice.operators.layout import plan_text
+
 from .conftest import d, rows
 
 
@@ -291,3 +293,14 @@ def test_sizing_and_shared_folder(spark):
 def test_delete_range(spark):
     df = spark.createDataFrame([(d(f"2026-06-0{i}"),) for i in range(1, 6)], "on date")
     assert load.delete_range(df, "on", "2026-06-02", "2026-06-04").count() == 2
+
+
+def test_month_slices_prune_both_scans(spark):
+    from workload import reports
+    from workload.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    plan = plan_text(QUERIES["status_category_gmv"].run(spark, sf))
+    scans = [line for line in plan.splitlines() if line.startswith("PartitionFilters") and "order_month" in line and ">= 1998-01-01" in line]
+    assert len(scans) >= 2
+    assert reports.sliced_tables(spark, sf)[0].count() == spark.read.parquet(f"{sf}/orders.parquet").count()

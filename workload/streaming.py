@@ -34,10 +34,14 @@ def stream_landing(spark, sf):
 
 @query("stream_dedup", "SELECT event_type, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def stream_dedup(spark, sf):
-    """Each event is sent twice; one stays."""
-    events = _events(spark, sf).select("event_id", "ts", "event_type")
-    twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    rows = streams.drain(streams.stream_dedup(twice, ["event_id"], "ts"), "dedup")
+    """Four files by age, each with its own events and once more those of the file before: a copy is known, or the watermark has passed it."""
+    root = new_dir(spark, "twice")
+    events = R.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    age = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 8), F.lit(3))
+    for i in range(4):
+        events.where(age.isin(i, max(0, i - 1))).unionByName(events.where(age == i).limit(100)).write.parquet(f"{root}/{i}")
+    stream = streams.stream_landing(spark, f"{root}/*", events.schema, files_per_batch=1)
+    rows = streams.drain(streams.stream_dedup(stream, ["event_id"], "ts"), "dedup")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -81,7 +85,9 @@ FROM (SELECT *, SUM(is_new) OVER (PARTITION BY event_type ORDER BY ts) AS sessio
   FROM events)) GROUP BY event_type, session""",
 )
 def stream_sessions(spark, sf):
-    return _metrics(spark, sf, streams.session_of("ts", "10 minutes"), "sessions")
+    """Five keys only: sessions are merged where the rows are before the few keys meet in a task."""
+    with streams.local_sessions(spark):
+        return _metrics(spark, sf, streams.session_of("ts", "10 minutes"), "sessions")
 
 
 #: Rows of the first six days that land more than two weeks late.
