@@ -37,6 +37,14 @@ SLICE_COLUMNS = {
 }
 
 
+#: Columns of landed CSV files by job. Nothing is guessed from the values, so an id keeps its leading zeros.
+CONTRACTS = {
+    "orders": "order_id bigint, customer_id int, customer_name string, amount double, order_date date",
+    "ads": ", ".join(f"{name} {kind}" for name, kind in pipelines.AD_CONTRACT.items()),
+    "marketplace": pipelines.MARKETPLACE_ORDERS,
+}
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="dayslice")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -46,6 +54,7 @@ def _parser() -> argparse.ArgumentParser:
         run.add_argument("--raw", required=True, help="landing folder, or table for --format parquet")
         run.add_argument("--root", required=True, help="folder of the layers")
         run.add_argument("--format", choices=("csv", "json", "parquet"), default="csv")
+        run.add_argument("--schema", default=CONTRACTS.get(name), help="columns of a CSV file as DDL; default the contract of the job, if it has one")
         run.add_argument("--at", default=None, help="time for the access trail; default the run date")
     query = jobs.add_parser("query", help="look into a table")
     query.add_argument("path")
@@ -68,7 +77,9 @@ def _parser() -> argparse.ArgumentParser:
 
 def _raw(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.format == "csv":
-        return readers.read_csv_day(spark, args.raw, args.ds)
+        if args.schema is None:
+            raise SystemExit(f"dayslice {args.job}: give --schema for CSV files, or land JSON or Parquet")
+        return readers.read_csv_day(spark, args.raw, args.ds, args.schema)
     if args.format == "json":
         return spark.read.json(f"{args.raw}/{args.ds}.json")
     table = spark.read.parquet(args.raw)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import same
 from ..session import fits_broadcast, materialize
@@ -154,10 +155,9 @@ def skew_join(
     as a join under a window on the same key. Only hot keys are salted: the few matching small
     rows are repeated once per salt, other keys go unchanged.
 
-    Without `spread`, equal rows are first counted, with map-side combining, and a count is dealt
-    over the salts, so even a frame of the key alone spreads; the rows are repeated after the join.
-    `spread` names columns that tell rows of one key apart: their hash is the salt, nothing is
-    counted, and columns that use less than half of the salts are refused.
+    The salt is a hash of the columns that tell rows of one key apart: `spread`, by default all others. Where a default hash uses less
+    than half of the salts (rows of a hot key are mostly alike, or there is no other column), equal rows are counted instead, with map-side
+    combining, a count is dealt over the salts, and rows are repeated after the join. A named `spread` that uses less than half is refused.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError("the salted side must be the preserved one")
@@ -165,34 +165,47 @@ def skew_join(
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    if spread is None:
-        left = salted_counts(big, is_hot, salts)
+    taken = {*big.columns, *small.columns}
+    salt_col, n_col = _fresh("_salt", taken), _fresh("_n", taken)
+    telling = list(spread) if spread is not None else [f.name for f in big.schema if f.name != key and _hashable(f.dataType)]
+    salt = F.pmod(F.xxhash64(*telling), F.lit(salts)).cast("int")
+    used = big.where(is_hot).select(salt.alias(salt_col)).distinct().count() if telling else 0
+    counted = used < salts // 2
+    if counted and spread is not None:
+        raise ValueError(f"columns {list(spread)} use {used} of {salts} salts")
+    if counted:
+        left = salted_counts(big, is_hot, salts).withColumnsRenamed({"_salt": salt_col, "_n": n_col})
     else:
-        salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-        used = big.where(is_hot).select(salt.alias("salt")).distinct().count()
-        if used < salts // 2:
-            raise ValueError(f"columns {list(spread)} use {used} of {salts} salts")
-        left = big.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+        left = big.withColumn(salt_col, F.when(is_hot, salt).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = small.withColumn(
-        "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
-    )
-    joined = left.join(right, [key, "_salt"], how).drop("_salt")
-    if spread is None:
-        joined = joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+    right = small.withColumn(salt_col, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    joined = left.join(right, [key, salt_col], how).drop(salt_col)
+    if counted:
+        joined = joined.withColumn(n_col, F.explode(F.sequence(F.lit(1), F.col(n_col).cast("int")))).drop(n_col)
     return joined
 
 
+def _fresh(name: str, taken: Collection[str]) -> str:
+    """A column name that is not in use."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _hashable(kind: T.DataType) -> bool:
+    return not any(word in kind.simpleString() for word in ("map<", "variant", "interval"))
+
+
 def salted_counts(df: DataFrame, is_hot: Column, salts: int) -> DataFrame:
     """Distinct rows with a count `_n` and a `_salt`; a hot row's count is dealt over up to `salts` rows."""
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_all"))
-    parts = F.when(is_hot, F.least(F.col("_all"), F.lit(salts))).otherwise(F.lit(1)).cast("int")
-    numbered = counted.withColumn("_parts", parts).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    )
+    names = {n: _fresh(n, df.columns) for n in ("_all", "_parts", "_i")}
+    whole, parts_col, i = names.values()
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias(whole))
+    parts = F.when(is_hot, F.least(F.col(whole), F.lit(salts))).otherwise(F.lit(1)).cast("int")
+    numbered = counted.withColumn(parts_col, parts).withColumn(i, F.explode(F.sequence(F.lit(0), F.col(parts_col) - 1)))
     first = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    salt = F.when(is_hot, F.pmod(first + F.col("_i"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    dealt = F.floor((F.col("_all") + F.col("_parts") - 1 - F.col("_i")) / F.col("_parts"))
+    salt = F.when(is_hot, F.pmod(first + F.col(i), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    dealt = F.floor((F.col(whole) + F.col(parts_col) - 1 - F.col(i)) / F.col(parts_col))
     return numbered.select(*df.columns, salt.alias("_salt"), dealt.alias("_n"))
 
 

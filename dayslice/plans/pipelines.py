@@ -36,6 +36,9 @@ AD_IDS = ("event_id", "ad_id", "campaign_id", "user_id")
 ORDER_STATUSES = ("completed", "refunded", "pending")
 PII_COLUMNS = ("phone", "email", "cccd")
 
+# Columns of the marketplace's order export.
+MARKETPLACE_ORDERS = "order_id string, partner string, customer_email string, amount double, order_ts timestamp, status string"
+
 SILVER_ORDERS_SUITE: Sequence[quality.Rule] = (
     {"expectation_type": quality.ROW_COUNT, "kwargs": {"min_value": 1}},
     {"expectation_type": quality.NOT_NULL, "kwargs": {"column": "order_date"}},
@@ -149,8 +152,7 @@ def run_marketplace_day(
     A missing column stops the run. With `fill_missing` it loads as NULL, and the value check
     at the end is what still catches it.
     """
-    contract = "order_id string, partner string, customer_email string, amount double, order_ts timestamp, status string"
-    empty = spark.createDataFrame([], contract)
+    empty = spark.createDataFrame([], MARKETPLACE_ORDERS)
     rows = contracts.align(assert_nonempty(raw, f"marketplace orders {ds}"), empty.schema, fill_missing)
     dated = rows.withColumn("order_date", F.col("order_ts").cast("date"))
     writers.write_slice(dated, f"{root}/bronze/marketplace_orders", "order_date", ds)

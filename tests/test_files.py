@@ -304,3 +304,13 @@ def test_month_slices_prune_both_scans(spark):
     scans = [line for line in plan.splitlines() if line.startswith("PartitionFilters") and "order_month" in line and ">= 1998-01-01" in line]
     assert len(scans) >= 2
     assert reports.sliced_tables(spark, sf)[0].count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_skew_join_keeps_columns_whatever_their_names(spark):
+    big = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("_salt"), F.create_map(F.lit("a"), "id").alias("m"))
+    small = spark.createDataFrame([(1, "x"), (3, "y")], "k bigint, _n string")
+    got = skew_join(big, small, "k", 8)
+    assert got.count() == 2002 and got.columns == ["k", "_salt", "m", "_n"]
+    alike = spark.range(3000).select(F.lit(1).cast("bigint").alias("k"), F.lit("same").alias("_i"))
+    assert skew_join(alike, small, "k", 8).count() == 3000
+    assert "Exchange hashpartitioning(k" in plan_text(got, "simple") or "BroadcastHashJoin" in plan_text(got, "simple")

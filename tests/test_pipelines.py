@@ -179,3 +179,16 @@ def test_command_line(spark, root):
     assert jobs.run(spark, ["query", table, "--describe"]).count() == 4
     assert jobs.run(spark, ["file-stats", table]).first().n_rows == 2
     assert jobs.run(spark, ["compact", table, f"{root}/compacted"]).count() == 2
+
+
+def test_command_line_reads_csv_by_contract(spark, root):
+    """Ids keep their leading zeros, a broken line stops the job, and a job without a contract asks for one."""
+    lines = ["order_id,partner,extra,customer_email,amount,order_ts,status"]
+    lines += [f"00{i},p{i % 2},x,a{i}@b.vn,{10 + i}.5,2026-01-01 08:00:00,completed" for i in range(40)]
+    spark.createDataFrame([(0, "\n".join(lines))], "n int, line string").select("line").coalesce(1).write.text(f"{root}/raw/2026-01-01.csv")
+    argv = ["--ds", "2026-01-01", "--raw", f"{root}/raw", "--root", root]
+    assert jobs.run(spark, ["marketplace", *argv]).where("passed").count() == 3
+    silver = read_partitioned(spark, f"{root}/silver/orders", "order_id string, partner string, amount double, status string, customer_email_masked string, order_date date")
+    assert rows(silver.where("amount < 12"), "order_id") == [("000",), ("001",)]
+    with pytest.raises(SystemExit, match="--schema"):
+        jobs.run(spark, ["customers", *argv])
