@@ -64,7 +64,10 @@ HEADLINES = (
     "repeat_rate",
     "compact_files",
     "published_slices",
-    "stream_tumbling",
+    "stream_tumbling_append",
+    "join_as_of_sorted",
+    "ranked_orders",
+    "scd2_from_snapshots_closing",
 )
 
 

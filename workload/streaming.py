@@ -66,16 +66,6 @@ def stream_tumbling(spark, sf):
     return _metrics(spark, sf, streams.tumbling("ts", "6 hours"), "tumbling")
 
 
-@query(
-    "stream_sliding",
-    f"""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start,
-  strftime(s + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, {_SUMS}
-FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest(range(2)) AS INTEGER)) AS s FROM events) GROUP BY ALL""",
-)
-def stream_sliding(spark, sf):
-    return _metrics(spark, sf, streams.tumbling("ts", "2 days", "1 day"), "sliding")
-
-
 @query(
     "stream_sessions",
     f"""SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -129,6 +119,17 @@ def stream_tumbling_append(spark, sf):
     return _appended(spark, sf, streams.tumbling("ts", "6 hours"), ["event_type"], "tumbling-append")
 
 
+@query(
+    "stream_sliding",
+    f"""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(s + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, {_SUMS}
+FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(unnest(range(2)) AS INTEGER)) AS s FROM events WHERE NOT ({_TOO_LATE})) GROUP BY ALL""",
+)
+def stream_sliding(spark, sf):
+    """Each row counts in two windows, which are appended once the watermark has passed them."""
+    return _appended(spark, sf, streams.tumbling("ts", "2 days", "1 day"), ["event_type"], "sliding-append")
+
+
 @query(
     "stream_sessions_by_user",
     f"""SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
