@@ -53,16 +53,20 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def compact(
-    spark: SparkSession, src: str, dst: str, target_mb: int = 128, part: str | None = None
+    spark: SparkSession, src: str, dst: str, target_mb: int = 128, part: str | None = None, n_files: int | None = None
 ) -> DataFrame:
     """Rewrite many small files as few large ones in a new folder and report before and after.
 
-    The source is left alone; point the table at `dst` with `switch_location` once the
+    Files of about `target_mb`, or exactly `n_files` of them where a reader needs that number; each is written by one task, row
+    group by row group. The source is left alone; point the table at `dst` with `switch_location` once the
     report is accepted. Raises when the content differs.
     """
+    if part is not None and n_files is not None:
+        raise ValueError("the number of files is stated for tables without slices only")
     before = spark.read.parquet(src)
-    stats = file_stats(before).first()
-    n_files = max(1, math.ceil((stats["n_bytes"] or 0) / (target_mb * 1024 * 1024)))
+    if part is None and n_files is None:
+        stats = file_stats(before).first()
+        n_files = max(1, math.ceil((stats["n_bytes"] or 0) / (target_mb * 1024 * 1024)))
     if part is None:
         before.repartition(n_files).write.parquet(dst)
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from dayslice.session import shared_dir, shuffle_partitions
 from dayslice.sources import catalog, intake, readers, shipments, writers
 
 from dayslice.operators.layout import plan_text
+from workload import all_queries
 
 from .conftest import d, rows
 
@@ -163,6 +165,17 @@ def test_compaction_keeps_content(spark, root):
     assert rows(report, "stage", "n_files", "n_rows") == [("after", 1, 1000), ("before", 20, 1000)]
 
 
+def test_compaction_into_one_file_whatever_the_size(spark, root, monkeypatch):
+    """The query's table is far above the target here, as 60 times sf0.1 is above 128 MB."""
+    spark.range(1000).repartition(20).write.parquet(f"{root}/small")
+    monkeypatch.setattr(layout, "compact", partial(layout.compact, target_mb=0.001))
+    report = layout.compact(spark, f"{root}/small", f"{root}/big", n_files=1)
+    assert rows(report, "stage", "n_files", "n_rows") == [("after", 1, 1000), ("before", 20, 1000)]
+    spark.range(1000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{root}/orders.parquet")
+    report = all_queries()["compact_files"].run(spark, root)
+    assert rows(report, "stage", "n_files", "n_rows") == [("after", 1, 1000), ("before", 24, 1000)]
+
+
 def test_switch_points_a_table_at_new_files(spark, root):
     for name, n in (("old", 3), ("new", 5)):
         spark.range(n).write.parquet(f"{root}/{name}")
