@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -150,6 +150,21 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drain_landings(stream: DataFrame, landings: Iterable[Callable[[], None]], label: str) -> DataFrame:
+    """`drain` with a run after each landing; a landing is a function that puts files where the stream looks.
+
+    All files of a landing are one micro-batch, so the watermark moves between landings only and not with each file, and the
+    number of batches follows that of landings, not of files. The stream must not bound its batches.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = new_dir(spark, label), new_dir(spark, f"{label}-state")
+    schema = stream.schema
+    for land in landings:
+        land()
+        run_available(stream, path, checkpoint)
+    return spark.read.schema(schema).parquet(path)
+
+
 def drain_complete(stream: DataFrame, label: str) -> DataFrame:
     """Run an aggregating stream over what has landed and return its complete result.
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from check_oracle import compare
 from dayslice.operators import load
 from dayslice.sources import writers
 from dayslice.streaming import streams
+from workload import all_queries
 
 from .conftest import rows
 
@@ -62,3 +68,33 @@ def test_landing_appends_once(spark, root):
     for _ in range(2):
         streams.run_available(stream, f"{root}/copy", f"{root}/copy-state")
     assert spark.read.parquet(f"{root}/copy").count() == 7
+
+
+def _many_files(spark, root):
+    """Events of a month, an hour apart for each of two users, in files of no order."""
+    at = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT) * 30)")
+    kind = F.element_at(F.array(F.lit("click"), F.lit("view")), (F.col("id") % 2 + 1).cast("int"))
+    events = spark.range(1400).select(
+        F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 2).alias("user_id"), kind.alias("event_type"), F.lit(1.25).alias("value"), F.lit("").alias("props")
+    )
+    events.repartition(6, "event_id").write.parquet(f"{root}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{root}/events.parquet/*.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_tumbling_append", "stream_sliding", "stream_sessions_by_user"])
+def test_a_landing_of_many_files_is_one_batch(spark, root, monkeypatch, name):
+    """The watermark of one file must not drop rows of the next one of its landing, and more files make no more batches."""
+    con, batches = _many_files(spark, root), []
+    real = streams.run_available
+
+    def noted(stream, path, checkpoint, *rest):
+        real(stream, path, checkpoint, *rest)
+        batches.append(sum(n.isdigit() for n in os.listdir(f"{checkpoint}/offsets")))
+
+    monkeypatch.setattr(streams, "run_available", noted)
+    ok, note, _ = compare(spark, con, all_queries()[name], root)
+    assert ok, note
+    # At most one more for each landing, without rows, that ends windows.
+    assert batches[-1] <= 2 * (4 if name == "stream_dedup" else 6)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -32,16 +34,21 @@ def stream_landing(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _in_turn(spark, tables, label):
+    """A stream over a folder, and for each table what lands it there; a table of many files is still one batch."""
+    root = new_dir(spark, label)
+    landings = [partial(table.write.parquet, f"{root}/{i}") for i, table in enumerate(tables)]
+    return streams.stream_landing(spark, f"{root}/*", tables[0].schema), landings
+
+
 @query("stream_dedup", "SELECT event_type, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def stream_dedup(spark, sf):
-    """Four files by age, each with its own events and once more those of the file before: a copy is known, or the watermark has passed it."""
-    root = new_dir(spark, "twice")
+    """Four landings by age, each with its own events and once more those of the one before: a copy is known, or the watermark has passed it."""
     events = R.table(spark, sf, "events").select("event_id", "ts", "event_type")
     age = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 8), F.lit(3))
-    for i in range(4):
-        events.where(age.isin(i, max(0, i - 1))).unionByName(events.where(age == i).limit(100)).write.parquet(f"{root}/{i}")
-    stream = streams.stream_landing(spark, f"{root}/*", events.schema, files_per_batch=1)
-    rows = streams.drain(streams.stream_dedup(stream, ["event_id"], "ts"), "dedup")
+    tables = [events.where(age.isin(i, max(0, i - 1))).unionByName(events.where(age == i).limit(100)) for i in range(4)]
+    stream, landings = _in_turn(spark, tables, "twice")
+    rows = streams.drain_landings(streams.stream_dedup(stream, ["event_id"], "ts"), landings, "dedup")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -85,26 +92,24 @@ _TOO_LATE = "ts < TIMESTAMP '2024-01-07' AND event_id % 101 = 0"
 
 
 def _landed(spark, sf):
-    """Events in five files by age; one row in seven lands a file late, a few of the first days only in the last one.
+    """Events in five landings by age; one row in seven lands one late, a few of the first days only in the last one.
 
-    A sixth file holds one event of the far future, which moves the watermark past all windows.
+    A sixth landing holds one event of the far future, which moves the watermark past all windows.
     """
-    root = new_dir(spark, "landed")
     events = R.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", C.money("value").alias("value"))
     age = F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 6)
     late = F.when(F.expr(_TOO_LATE), F.lit(4)).otherwise(age + (F.col("event_id") % 7 == 0).cast("int"))
-    for i in range(5):
-        events.where(F.least(late, F.lit(4)) == i).write.parquet(f"{root}/{i}")
+    tables = [events.where(F.least(late, F.lit(4)) == i) for i in range(5)]
     last = events.limit(1).withColumns({"ts": F.lit("2100-01-01 00:00:00").cast(events.schema["ts"].dataType), "event_type": F.lit("end")})
-    last.write.parquet(f"{root}/5")
-    return streams.stream_landing(spark, f"{root}/*", events.schema, files_per_batch=1)
+    return _in_turn(spark, [*tables, last], "landed")
 
 
 def _appended(spark, sf, frame, keys, label):
     """Windows written once the watermark has passed them; their state is then freed."""
     aggs = [F.count("*").alias("n"), F.sum("value").alias("total")]
-    out = streams.stream_metrics(_landed(spark, sf), "ts", frame, keys, aggs, delay="8 days")
-    rows = streams.drain(out, label).where("window_end < TIMESTAMP '2100-01-01'")
+    stream, landings = _landed(spark, sf)
+    out = streams.stream_metrics(stream, "ts", frame, keys, aggs, delay="8 days")
+    rows = streams.drain_landings(out, landings, label).where("window_end < TIMESTAMP '2100-01-01'")
     return rows.withColumns({"window_start": _text("window_start"), "window_end": _text("window_end")})
 
 
@@ -115,7 +120,7 @@ def _appended(spark, sf, frame, keys, label):
 FROM events WHERE NOT ({_TOO_LATE}) GROUP BY ALL""",
 )
 def stream_tumbling_append(spark, sf):
-    """Six landed files; late rows inside the delay count, those beyond it do not."""
+    """Six landings; late rows inside the delay count, those beyond it do not."""
     return _appended(spark, sf, streams.tumbling("ts", "6 hours"), ["event_type"], "tumbling-append")
 
 
