@@ -41,8 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents of which none has a Jaccard similarity of five-word shingles of 0.8 or more to another that stays.
 
     In the order of ids a document goes if it is that similar to one that stays, so a chain of similar documents loses every second one and not
-    all but its first. Every similarity is computed on the whole sets of shingles, and the search for pairs is exact; see `near`. A SimHash of
-    64 bits cannot be that search: at a similarity of 0.8 two fingerprints differ in 10 bits on average, often in more.
+    all but its first. Pairs come from the search of SimHash fingerprints and every similarity is computed on the whole sets of shingles; see `near`.
+    At a similarity of 0.8 two fingerprints differ in 10 bits on average, more than SimHash can search, so an exact join finds the pairs that it misses.
 
     Rows without an id come last in the order. Of rows with one set of shingles one stays, also where ids repeat or are null.
     """

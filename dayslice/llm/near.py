@@ -1,10 +1,14 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a prefix join, checked links, connected components.
+"""Near copies by SimHash, checked by the exact Jaccard similarity of word shingles, and an exact way for the rest: a prefix join.
+
+SimHash comes first: the fingerprint of every set of shingles goes through the trie search of `simhash`, and each set meets the one that stands for
+its group of fingerprints. Similar sets whose fingerprints differ in more bits than the search allows are the rest (at a similarity of 0.8 most
+are): a prefix join finds them, so none is lost. All that meet are checked on the whole sets.
 
 Two sets with similarity of at least t share ceil(t * n) members of either, so under any one order of all shingles the first
 n - ceil(t * n) + 1 of both share a member: a join of these prefixes misses no pair. Frequent shingles, found in
 a sample of texts, come last in the order; that only saves work. Texts with one set of shingles are one node.
 
-Candidates are checked in two rounds. First each node meets the least node of each shingle's group and the one
+Candidates are checked in two rounds. First come those of SimHash, and each node meets the least node of each shingle's group and the one
 before it, which is linear in the prefixes and joins families of near copies. Then all pairs of a group that are still in different
 components and whose sizes and parities allow the similarity are checked, so no link is left out that could join two components. Sets
 are made again from the texts of candidates only.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import ship, slices, whole_text
-from .simhash import SEED, SLICE_SHINGLES, components
+from .simhash import SEED, SLICE_SHINGLES, components, links, of_hashes
 
 WORDS = 5
 #: Least similarity, as a fraction of whole numbers, so that no rounding decides.
@@ -101,6 +105,7 @@ def _prefixes(frequent: Broadcast):
                     "mark": pa.array(rows["mark"], pa.int64()),
                     "node": pa.array([node_of(f) for f in found], pa.int64()),
                     "size": pa.array([len(f) for f in found], pa.int32()),
+                    "fp": pa.array(np.array([of_hashes(f.view(np.uint64)) for f in found], dtype=np.uint64).view(np.int64)),
                     "first": _lists(first),
                     **{name: pa.array(bits[:, i].copy(), pa.int64()) for i, name in enumerate(PARITY)},
                 }
@@ -174,16 +179,32 @@ def _plain(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return own.withColumns({"mark": F.xxhash64("text"), "jid": F.coalesce("doc_id", F.lit(-(1 << 63)))})
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), the least node first, that SimHash finds among rows (node, size, fp) and whose sizes allow the similarity.
+
+    Fingerprints are joined into groups by the search of `simhash`, within its bits; of each fingerprint, and of each group, one node stands
+    for it and meets the others, so the pairs are no more than twice the nodes.
+    """
+    named = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("own"))
+    near = links(named.select("fp"))
+    least = F.col("own")
+    same = nodes.join(named, "fp").select(F.col("node").alias("x"), F.col("size").alias("size_x"), least.getField("node").alias("y"), least.getField("size").alias("size_y"))
+    ends = [named.select(F.col("fp").alias(c), least.getField("node").alias(n), least.getField("size").alias(f"size_{n}")) for c, n in (("a", "x"), ("b", "y"))]
+    between = near.join(ends[0], "a").join(ends[1], "b").select("x", "size_x", "y", "size_y")
+    sizes = (UNDER * F.least("size_a", "size_b")) >= OVER * F.greatest("size_a", "size_b")
+    return _in_order(same.union(between).where("x <> y")).where(sizes).select("a", "b").distinct()
+
+
 def _linked(plain: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, mark, node) of each text, (node, size, least id, and jid and mark of the row that stands for it), (node, root) of linked nodes."""
     spark = plain.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(plain))
-    schema = "doc_id bigint, mark bigint, node bigint, size int, first array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY)
+    schema = "doc_id bigint, mark bigint, node bigint, size int, fp bigint, first array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY)
     marked = materialize(plain.select("doc_id", "mark", "text").mapInArrow(_prefixes(frequent), schema), "prefixes")
     # The row of the least id stands for a node; rows without an id come last, of one id the least mark first.
     row = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("jid"), "mark")
-    nodes = marked.groupBy("node").agg(F.min(row).alias("row"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", *PARITY)))
-    nodes = materialize(nodes.select("node", "least", "size", "row.jid", "row.mark", *PARITY), "nodes")
+    nodes = marked.groupBy("node").agg(F.min(row).alias("row"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", *PARITY)))
+    nodes = materialize(nodes.select("node", "least", "size", "fp", "row.jid", "row.mark", *PARITY), "nodes")
     # Repeated sets have one prefix; only rows of the chosen mark carry it on.
     single = marked.join(nodes.select("node", "mark"), ["node", "mark"], "left_semi").dropDuplicates(["node"])
     placed = Window.partitionBy("h").orderBy("size", "node")
@@ -200,7 +221,8 @@ def _linked(plain: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # The smaller set comes first in the order, so one comparison of sizes is enough.
     met = [shared.select(F.col(n).alias("x"), F.col(f"{n}_size").alias("size_x"), F.col("node").alias("y"), F.col("size").alias("size_y")) for n in ("before", "lead")]
     larger = _rest(F.greatest("size_a", "size_b"), OVER, UNDER)
-    tried = materialize(_able(_in_order(met[0].union(met[1]).where((F.col("x") != F.col("y")) & (UNDER * F.col("size_x") >= OVER * F.col("size_y")))), larger), "tried")
+    able = _able(_in_order(met[0].union(met[1]).where((F.col("x") != F.col("y")) & (UNDER * F.col("size_x") >= OVER * F.col("size_y")))), larger)
+    tried = materialize(simhash_pairs(nodes).union(able).distinct(), "tried")
     found = materialize(components(_checked(tried, nodes, plain)), "found")
 
     joined = shared.join(found, "node", "left").select("h", "node", "size", "leads", F.coalesce("root", "node").alias("root"))

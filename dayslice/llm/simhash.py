@@ -58,11 +58,28 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     total = np.zeros(BITS, dtype=np.int64)
     for i in range(0, count, SLICE_SHINGLES):
         spans = zip(starts[i : min(count, i + SLICE_SHINGLES)].tolist(), last[i : i + SLICE_SHINGLES].tolist(), strict=True)
-        hashes = np.array([digest(line[a:b], seed) for a, b in spans], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += set_bits(np.array([digest(line[a:b], seed) for a, b in spans], dtype="<u8"))
+    return majority(total, count)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, count: int) -> int:
+    """The fingerprint: bits set in more than half of `count` hashes."""
     return int(np.packbits((2 * total > count).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of shingles that are hashed already; of none, zero."""
+    total = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(hashes), SLICE_SHINGLES):
+        total += set_bits(hashes[i : i + SLICE_SHINGLES].astype("<u8", copy=False))
+    return majority(total, len(hashes))
+
+
 def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
     """Fingerprint of a binary column as a signed 64-bit integer."""
 

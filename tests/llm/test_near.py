@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from dayslice.llm import near
+from dayslice.llm import near, simhash
 
 from .corpus import documents, frame
 from .test_copies import shingles
@@ -144,6 +144,34 @@ def test_nothing_and_empty_texts(spark):
     assert staying(corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")) == [(2, ""), (4, "A B")]
 
 
+def test_simhash_finds_pairs_of_the_stage(spark, monkeypatch):
+    """All fingerprints go through the SimHash search and it makes pairs; what it misses is found too."""
+    made = []
+    real = near.links
+
+    def noted(distinct):
+        out = real(distinct)
+        made.append((distinct.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near, "links", noted)
+    base = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join([*base[: 599 - i], f"end{i}"])) for i in range(4)] + edited(4, 6)
+    assert staying(corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")) == plain_kept(rows)
+    # Each round sees every fingerprint that is left.
+    prints = {simhash.of_hashes(near.shingles(t.encode()).view(np.uint64)) for _, t in rows}
+    assert made[0][0] == len(prints) and made[0][1] >= 1
+    nodes = [(near.node_of(s), len(s), simhash.of_hashes(s.view(np.uint64))) for s in (near.shingles(t.encode()) for _, t in rows)]
+    signed = [(n, z, f - (1 << 64) if f >> 63 else f) for n, z, f in nodes]
+    pairs = near.simhash_pairs(spark.createDataFrame(signed, "node bigint, size int, fp bigint")).collect()
+    assert pairs and all(r.a < r.b for r in pairs)
+
+
+def test_simhash_of_hashes_equals_that_of_the_text():
+    for text in (b"", b"one", b"a b c d e f g h i j k l m n o p"):
+        assert simhash.of_hashes(near.shingles(text, simhash.WORDS).view(np.uint64)) == simhash.fingerprint(text)
+
+
 @pytest.mark.parametrize("size", [0, 1, 40, 600, 5_000])
 def test_parities_bound_the_difference_of_two_sets(size):
     dice = np.random.default_rng(size)
