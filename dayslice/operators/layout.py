@@ -179,29 +179,33 @@ def small_file_plan(files: DataFrame, part: str, target: int, small: float = 0.7
     """Which files to rewrite together: (part, file, size, bin), bins of about `target` bytes for each slice.
 
     `files` has a row (part, file, size) for each file. Those of at least `small` of the target stay, and so does a slice with one small
-    file. Bins follow the running sum of sizes, so a bin is at most one file over the target.
+    file. Bins follow the running sum of sizes and a file alone in its bin goes into the one before, so a bin is at most two files over the target.
     """
     little = files.where(F.col("size") < small * target)
     one = Window.partitionBy(part)
     before = one.orderBy("size", "file").rowsBetween(Window.unboundedPreceding, -1)
     binned = little.withColumn("bin", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / target).cast("int"))
-    return binned.withColumn("_files", F.count("*").over(Window.partitionBy(part, "bin"))).where("_files > 1").drop("_files")
+    mates = F.count("*").over(Window.partitionBy(part, "bin"))
+    joined = binned.withColumns({"_files": mates, "_last": F.lag("bin").over(one.orderBy("size", "file"))})
+    joined = joined.withColumn("bin", F.when(F.col("_files") > 1, F.col("bin")).otherwise(F.coalesce("_last", "bin"))).drop("_last")
+    return joined.withColumn("_files", mates).where("_files > 1").drop("_files")
 
 
 def compact_small(spark: SparkSession, path: str, part: str, target: int = 128 << 20) -> dict[str, int]:
     """Rewrite only the small files of a partitioned table in place, and report what was done.
 
     New files are written aside and counted, then moved into their slice, and only then the old ones are deleted. `files` and `bytes` are those in
-    place before, `rewritten_files` and `rewritten_bytes` what the plan touches, `new_files` what replaces them. A plan
+    place before, `rewritten_files` and `rewritten_bytes` what the plan touches, `rows` and `rewritten_rows` the same in rows, `new_files` what replaces them. A plan
     over files is a list: its size follows the number of small files. One writer at a time; a reader that starts between move and
     delete sees rows twice, so point a catalog table at a copy with `switch_location` where readers cannot wait.
     """
     table = spark.read.parquet(path)
     listed = table.select(part, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
     total = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
+    n_rows = table.count()
     plan = materialize(small_file_plan(listed, part, target), "compaction-plan")
     done = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    report = {"files": total["n"], "bytes": total["b"], "rewritten_files": done["n"], "rewritten_bytes": done["b"], "new_files": 0}
+    report = {"files": total["n"], "bytes": total["b"], "rewritten_files": done["n"], "rewritten_bytes": done["b"], "rows": n_rows, "rewritten_rows": 0, "new_files": 0}
     if not done["n"]:
         return report
     old = [r["file"] for r in plan.select("file").collect()]
@@ -221,7 +225,7 @@ def compact_small(spark: SparkSession, path: str, part: str, target: int = 128 <
         files.rename(source, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{slice_name}/{source.getParent().getName()}-{source.getName()}"))
     for gone in old:
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(gone)), False)
-    return report | {"new_files": len(new)}
+    return report | {"rewritten_rows": a["n_rows"], "new_files": len(new)}
 
 
 def _statuses(spark: SparkSession, pattern: str) -> list:

@@ -125,6 +125,11 @@ def test_only_small_files_are_rewritten(spark, root):
     assert layout.compact_small(spark, path, "p", target=before[large])["rewritten_files"] == 0
 
 
+def test_a_file_alone_in_its_bin_joins_the_one_before(spark):
+    files = spark.createDataFrame([("a", f"f{i:02}", 40) for i in range(4)], "p string, file string, size bigint")
+    assert rows(layout.small_file_plan(files, "p", 100), "file", "bin") == [("f00", 0), ("f01", 0), ("f02", 0), ("f03", 0)]
+
+
 def test_compaction_refuses_other_content(spark, root, monkeypatch):
     path = f"{root}/c"
     spark.range(50).select("id", F.lit("a").alias("p")).repartition(4).write.partitionBy("p").parquet(path)
