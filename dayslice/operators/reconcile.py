@@ -179,13 +179,17 @@ def recon_rules(
     inclusive: bool = True,
     name: str = "rules_ok",
 ) -> Check:
-    """Fact rows with a bad amount, no key, or a key that the dimension lacks: there are none."""
+    """Fact rows with a bad amount, no key, or a key that the dimension lacks: there are none.
+
+    The fact is counted per key before the join, so that its rows are not shuffled for a dimension too large to broadcast.
+    """
     value = F.col(amount)
     bad_amount = value < 0 if inclusive else value <= 0
     keys = dim.select(key).distinct().withColumn("_known", F.lit(True))
-    joined = fact.select(key, amount).join(keys, key, "left")
-    bad = F.coalesce(bad_amount, F.lit(False)) | F.col(key).isNull() | F.col("_known").isNull()
-    return Check(name, [(joined, {"bad": count_if(bad)})], _none("bad"))
+    counts = fact.groupBy(key).agg(F.count("*").alias("_rows"), count_if(bad_amount).alias("_bad"))
+    lost = F.col(key).isNull() | F.col("_known").isNull()
+    bad = F.when(lost, F.col("_rows")).otherwise(F.col("_bad"))
+    return Check(name, [(counts.join(keys, key, "left"), {"bad": sum_or_zero(bad)})], _none("bad"))
 
 
 def check_no_orphans(

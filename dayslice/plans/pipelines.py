@@ -60,14 +60,16 @@ def run_orders_day(
     suite: Sequence[quality.Rule] = SILVER_ORDERS_SUITE,
 ) -> DataFrame:
     """Orders of one date: bronze, gated silver, customer dimension, sales fact, reconciliation."""
-    writers.write_slice(raw, f"{root}/bronze/orders", "order_date", ds)
+    writers.write_slice(raw, f"{root}/bronze/orders", "order_date", ds, packed=True)
     bronze = read_parquet_slice(spark, f"{root}/bronze/orders", "order_date", ds)
     valid = validate_orders(bronze, ds, min_amount, inclusive)
     quality.gate(quality.run_suite(valid, suite))
-    writers.write_slice(valid, f"{root}/silver/orders", "order_date", ds)
+    writers.write_slice(valid, f"{root}/silver/orders", "order_date", ds, packed=True)
 
     silver = read_parquet_slice(spark, f"{root}/silver/orders", "order_date", ds)
-    names = keep_first(silver.select("customer_id", "customer_name"), ["customer_id"], ["customer_name"])
+    # Distinct first: a hash table of the names instead of a sort of all orders in each task.
+    seen = silver.select("customer_id", "customer_name").distinct()
+    names = keep_first(seen, ["customer_id"], ["customer_name"])
     dim_path = f"{root}/gold/dim_customer"
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def run_orders_day(
     writers.upsert_table(spark, dim_path, names, "customer_id", merge, first, buckets)
     fact_path = f"{root}/gold/fact_sales"
     writers.write_slice(
-        silver.select("order_id", "customer_id", "amount", "order_date"), fact_path, "order_date", ds
+        silver.select("order_id", "customer_id", "amount", "order_date"), fact_path, "order_date", ds, packed=True
     )
 
     fact = read_parquet_slice(spark, fact_path, "order_date", ds)
@@ -102,11 +104,11 @@ def run_ads_day(
     drift = contracts.check_schema(assert_nonempty(raw, f"ad events {ds}"), AD_CONTRACT)
     contracts.enforce(drift, retyped_ok=AD_IDS)
     fact_path, agg_path = f"{root}/silver/fact_ad_events", f"{root}/gold/agg_ad_daily"
-    writers.write_slice(fact_ad_events(raw, ds), fact_path, "event_date", ds, evolving=True)
+    writers.write_slice(fact_ad_events(raw, ds), fact_path, "event_date", ds, evolving=True, packed=True)
 
     known = writers.read_evolving(spark, fact_path)
     fact = known.where(F.col("event_date") == day(ds))
-    writers.write_slice(ad_daily(fact), agg_path, "event_date", ds)
+    writers.write_slice(ad_daily(fact), agg_path, "event_date", ds, packed=True)
 
     history = read_partitioned(spark, agg_path)
     daily = history.where(F.col("event_date") == day(ds))
@@ -155,18 +157,18 @@ def run_marketplace_day(
     empty = spark.createDataFrame([], MARKETPLACE_ORDERS)
     rows = contracts.align(assert_nonempty(raw, f"marketplace orders {ds}"), empty.schema, fill_missing)
     dated = rows.withColumn("order_date", F.col("order_ts").cast("date"))
-    writers.write_slice(dated, f"{root}/bronze/marketplace_orders", "order_date", ds)
+    writers.write_slice(dated, f"{root}/bronze/marketplace_orders", "order_date", ds, packed=True)
 
     bronze = read_parquet_slice(spark, f"{root}/bronze/marketplace_orders", "order_date", ds)
     unique = in_domain(keep_first(bronze, ["order_id"], ["order_ts"]), "status", ORDER_STATUSES)
     silver_rows = access.hash_column(unique, "customer_email").select(
         "order_id", "partner", "amount", "order_date", "status", "customer_email_masked"
     )
-    writers.write_slice(silver_rows, f"{root}/silver/orders", "order_date", ds)
+    writers.write_slice(silver_rows, f"{root}/silver/orders", "order_date", ds, packed=True)
 
     silver = read_parquet_slice(spark, f"{root}/silver/orders", "order_date", ds)
     writers.write_slice(
-        daily_revenue(silver, ds), f"{root}/gold/fact_daily_revenue", "order_date", ds
+        daily_revenue(silver, ds), f"{root}/gold/fact_daily_revenue", "order_date", ds, packed=True
     )
     gold = read_parquet_slice(spark, f"{root}/gold/fact_daily_revenue", "order_date", ds)
     checks = reconcile.evaluate(
@@ -186,7 +188,7 @@ def run_customers_day(
     Only counts leave the tables. `at` is the time stamped on the trail.
     """
     bronze_path, silver_path = f"{root}/bronze/customers", f"{root}/silver/customers"
-    n_raw = writers.write_slice(raw.withColumn("ingested_at", day(ds)), bronze_path, "ingested_at", ds)
+    n_raw = writers.write_slice(raw.withColumn("ingested_at", day(ds)), bronze_path, "ingested_at", ds, packed=True)
     bronze = read_partitioned(spark, bronze_path)
     batch = access.customers_silver(bronze, None, ds)
 

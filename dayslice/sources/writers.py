@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LayoutError
-from ..functions.columns import shift
+from ..functions.columns import day, shift
 from ..operators.load import only_slice
 from ..operators.quality import gate
 from . import layouts
 from .readers import has_slices, partition_path, path_exists
 
 
-def write_slices(df: DataFrame, path: str, col: str) -> None:
+def write_slices(df: DataFrame, path: str, col: str, packed: bool = False) -> None:
     """Replace exactly the slices present in `df`; other slices stay.
 
     REBALANCE writes few files per slice and still splits a slice that is too large for one task.
+    It shuffles every row; with `packed` each task writes the rows it has (see `write_slice`).
     """
     (
-        df.hint("rebalance", F.col(col))
+        (df if packed else df.hint("rebalance", F.col(col)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(col)
@@ -32,17 +33,25 @@ def write_slices(df: DataFrame, path: str, col: str) -> None:
     )
 
 
-def write_slice(df: DataFrame, path: str, col: str, ds: str | dt.date, evolving: bool = False) -> int:
+def write_slice(
+    df: DataFrame, path: str, col: str, ds: str | dt.date, evolving: bool = False, packed: bool = False
+) -> int:
     """Replace one date slice and return its row count, taken while writing.
 
     With `evolving` the table's schema is kept beside it (`write_evolving`).
+    With `packed` the rows are neither shuffled nor sorted: each task writes one file. That is for rows that lie
+    together already, a whole day's files or what came out of a shuffle; a few rows picked out of a large table would
+    make many small files.
 
     A row of another date fails the write. An empty slice removes the old one, as a delete
     followed by an empty insert would.
     """
     seen = Observation()
     counted = only_slice(df, col, ds).observe(seen, F.count(F.lit(1)).alias("n"))
-    (write_evolving if evolving else write_slices)(counted, path, col)
+    if isinstance(df.schema[col].dataType, T.DateType):
+        # Past the guard the date is this one; of a literal Spark knows that it needs no sort before the write.
+        counted = counted.withColumn(col, day(ds))
+    (write_evolving if evolving else write_slices)(counted, path, col, packed)
     rows = int(seen.get["n"])
     if rows == 0:
         drop_slice(df.sparkSession, path, col, ds)
@@ -250,7 +259,7 @@ def read_buckets(spark: SparkSession, path: str, bucket_col: str = "bucket") ->
     return _with_buckets(spark, path, schema, bucket_col).drop(bucket_col)
 
 
-def write_evolving(df: DataFrame, path: str, col: str) -> None:
+def write_evolving(df: DataFrame, path: str, col: str, packed: bool = False) -> None:
     """`write_slices` on a table whose columns grow: its schema is stored and widened (`layouts.evolve`), old slices stay as they are."""
     spark = df.sparkSession
     if path_exists(spark, f"{path}/{layouts.LAYOUT}"):
@@ -266,7 +275,7 @@ def write_evolving(df: DataFrame, path: str, col: str) -> None:
     schema = layouts.evolve(old or df.schema, df.schema)
     if schema != old:
         layouts.write_layout(spark, path, known | {"schema": schema.jsonValue()})
-    write_slices(layouts.aligned(df, schema), path, col)
+    write_slices(layouts.aligned(df, schema), path, col, packed)
 
 
 def read_evolving(spark: SparkSession, path: str) -> DataFrame:

@@ -59,6 +59,24 @@ def test_failed_write_leaves_the_old_day(spark, root, six_orders):
     assert read_partitioned(spark, path).count() == 6
 
 
+def test_packed_slice_is_neither_shuffled_nor_sorted(spark, root, six_orders):
+    path = f"{root}/t"
+    writers.write_slices(six_orders, path, "order_date")
+    day = six_orders.where("order_id <> 6").repartition(3)
+    assert writers.write_slice(day, path, "order_date", "2026-01-15", packed=True) == 5
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = runs.apply(runs.size() - 1).physicalPlanDescription()
+    # The frame's own shuffle, in the final and in the initial plan.
+    assert "WriteFiles" in plan and plan.count("- Exchange") == 2 and "- Sort" not in plan
+    with pytest.raises(PySparkException, match="outside slice"):
+        writers.write_slice(six_orders, path, "order_date", "2026-01-15", packed=True)
+    assert rows(read_partitioned(spark, path)) == rows(six_orders)
+    assert read_partitioned(spark, path).schema["order_date"].dataType == six_orders.schema["order_date"].dataType
+    assert writers.write_slice(day.where("false"), path, "order_date", "2026-01-15", packed=True) == 0
+    assert rows(read_partitioned(spark, path), "order_id") == [(6,)]
+
+
 def test_type_one_upsert(spark):
     cols = "id int, name string, first_seen_date date, last_updated_date date"
     dim = spark.createDataFrame([(1, "old", d("2026-01-01"), d("2026-01-01")), (2, "stay", d("2026-01-01"), d("2026-01-01"))], cols)

@@ -55,6 +55,29 @@ def test_duplicate_order_blocks_silver(spark, root):
     assert not path_exists(spark, f"{root}/silver/orders")
 
 
+def _stages(spark):
+    """Shuffled records of each stage so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(none, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), none)
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_orders_are_shuffled_for_their_uniqueness_only(spark, root):
+    n, ds = 20_000, "2026-01-15"
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # As for a dimension that is too large to broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = max(_stages(spark), default=-1)
+        pipelines.run_orders_day(spark, _orders(spark, ds, n), root, ds, buckets=4)
+        shuffled = sum(records for stage, records in _stages(spark).items() if stage > before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert n <= shuffled < 1.5 * n
+    assert read_partitioned(spark, f"{root}/gold/fact_sales").count() == n
+
+
 def test_row_of_another_day_is_refused(spark, root):
     with pytest.raises(PySparkException, match="outside slice"):
         pipelines.run_orders_day(spark, _orders(spark, "2026-01-16"), root, "2026-01-15", buckets=4)
